@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_token_files": token_files.op3_token_files,
+    "op6_packing": packing.op6_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {

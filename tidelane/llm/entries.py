@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, langid, mixing, packing, token_files, transport_stream, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_files": token_files.op3_token_files,
+    "op4_transport_stream": transport_stream.op4_transport_stream,
     "op6_packing": packing.op6_packing,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op9_language_id": langid.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, token_files, transport_stream, url_filter
+from . import exact_dedup, langid, mixing, near_join, packing, token_files, transport_stream, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_transport_stream": transport_stream.op4_transport_stream,
     "op6_packing": packing.op6_packing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_near_join": near_join.op8_near_join,
     "op9_language_id": langid.op9_language_id,
     "op10_mixing": mixing.op10_mixing,
 }

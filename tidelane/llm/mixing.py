@@ -95,12 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns only."""
+    """The mix itself, range-sorted by virtual finish time: each document as often as it is taken, with its own columns only."""
     row = fresh(docs.columns, "row_id")
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
-    times = fresh(docs.columns, "times")
-    took = mix(numbered, row_col=row).filter("times > 0").select(F.col("row_id").alias(row), F.col("times").alias(times))
-    return numbered.join(took, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    took = mix(numbered, row_col=row).filter("times > 0").select(F.col("row_id").alias("mix_row"), "times", "finish", (F.col("source_size") / F.col("target")).alias("round"))
+    own = [F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    copies = numbered.alias("d").join(took.alias("m"), F.col(f"d.{row}") == F.col("m.mix_row")).select(*own, "m.mix_row", "m.finish", "m.round", F.explode(F.sequence(F.lit(0), F.col("m.times").cast("int") - 1)).alias("copy"))
+    return copies.orderBy(F.col("finish") + F.col("copy") * F.col("round"), "mix_row", "copy").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,9 @@ def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
             break
         bucket, may = _pairs(seq)
         counts = np.bincount(bucket[may], minlength=1 << 20)
-        top = np.partition(counts, -ROUND_PAIRS)[-ROUND_PAIRS]
-        often = may & (counts >= max(top, LEAST_USES))[bucket]
+        top = counts[counts >= LEAST_USES]
+        least = int(np.partition(top, -ROUND_PAIRS)[-ROUND_PAIRS]) if len(top) > ROUND_PAIRS else LEAST_USES
+        often = may & (counts >= least)[bucket]
         at = np.flatnonzero(often)
         if not len(at):
             break

@@ -18,10 +18,20 @@ MEMO = 800_000
 MARKS = ".,!?;:|%$#*&"
 
 
+#: Byte-level BPE writes bytes as characters: printable ones as they are, the rest from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class _Words(dict):
-    def __init__(self, encode, lead: str, most: int, lower: bool):
+    def __init__(self, encode, model, lead: str, most: int, lower: bool):
         super().__init__()
-        self.encode, self.lead, self.most, self.lower, self.marks = encode, lead, most, lower, {}
+        self.encode, self.model, self.lead, self.most, self.lower, self.marks = encode, model, lead, most, lower, {}
+
+    def _letters(self, word: str) -> bytes:
+        """A word of Latin-1 letters is one piece, so the library's model can be asked without its steps that cut and normalise."""
+        raw = (self.lead + word).encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(MARKS)
@@ -30,8 +40,9 @@ class _Words(dict):
             if mark not in self.marks and len(self.marks) < 10_000:
                 self.marks[mark] = self.encode(mark)
             ids = self[letters] + (self.marks.get(mark) or self.encode(mark))
-        elif self.lower and word.isascii() and not word.islower() and word.isalpha():
-            ids = self[word.lower()]
+        elif word.isalpha() and max(word) <= "\xff":
+            low = word.lower() if self.lower else word
+            ids = self._letters(word) if low == word else self[low]
         else:
             ids = self.encode(self.lead + word)
         if len(self) < self.most and len(word) <= 64:
@@ -49,8 +60,9 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self._first = _Words(self._whole, "", memo, not spaced)
-        self._later = _Words(self._whole, " ", memo, False) if spaced else self._first
+        model = tokenizer.model
+        self._first = _Words(self._whole, model, "", memo, not spaced)
+        self._later = _Words(self._whole, model, " ", memo, False) if spaced else self._first
         self._break = self._whole("\n") if spaced else b""
 
     def encode(self, text: str) -> bytes:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import flow_queries
+
+QUERIES: dict = {**flow_queries.QUERIES}
+ORACLES: dict = {**flow_queries.ORACLES}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: What hints at SQL injection or at path traversal in a URL (lower case).
 SQLI_HINTS = ("union select", "union+select", "' or ", "'or'", "or 1=1", "--", "/*", "xp_", "information_schema", "sleep(", "benchmark(")
@@ -34,18 +37,24 @@ def hints(url: Column, marks: tuple[str, ...]) -> Column:
     return found
 
 
-def byte_entropy(df: DataFrame, key: str, raw: Column, most: int | None = None) -> DataFrame:
-    """Shannon entropy in bits a byte of binary values, by key: explode by byte pairs of hex, count, sum. 0 for an empty value; null counts as empty."""
-    digits = F.hex(F.coalesce(raw, F.lit(b"")) if most is None else F.substring(F.coalesce(raw, F.lit(b"")), 1, most))
-    n = F.length(digits) / 2
-    pairs = df.select(F.col(key), n.cast("bigint").alias("n"), F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring(digits, i * 2 + 1, F.lit(2))))).alias("b"))
-    counts = pairs.groupBy(key, "n", "b").agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.col("n")
-    return counts.groupBy(key).agg(F.coalesce(-F.sum(F.when(F.col("n") > 0, share * F.log2(share))), F.lit(0.0)).alias("entropy"))
+def entropy_of(raw: bytes | None) -> float:
+    """Shannon entropy in bits a byte; 0 for nothing."""
+    if not raw:
+        return 0.0
+    counts = np.bincount(np.frombuffer(raw, np.uint8))
+    share = counts[counts > 0] / len(raw)
+    return float(-(share * np.log2(share)).sum()) + 0.0
 
 
-def ip_number(ip: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def byte_entropy(raw: pd.Series) -> pd.Series:
+    """Entropy of binary values, in Arrow batches: counting bytes has no built-in function. Null counts as empty."""
+    return raw.map(entropy_of, na_action=None)
+
+
+def ip_number(ip: Column | str) -> Column:
     """An IPv4 address as a number; null if it isn't one."""
+    ip = F.col(ip) if isinstance(ip, str) else ip
     parts = F.split(ip, r"\.")
     number = sum((F.try_element_at(parts, F.lit(k + 1)).cast("bigint") * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("bigint"))
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)

@@ -137,8 +137,9 @@ def cic_distributions(packets: DataFrame) -> DataFrame:
 
 
 def cic_extended(packets: DataFrame, **gaps: float) -> DataFrame:
-    """All 272 columns and ``flow``."""
-    return cic(packets, **gaps).join(cic_distributions(packets), "flow")
+    """All 272 columns and ``flow``. A distribution's column whose name CIC has already ends in ``_dist``."""
+    more = cic_distributions(packets)
+    return cic(packets, **gaps).join(more.toDF(*[f"{c}_dist" if c in CIC_COLUMNS else c for c in more.columns]), "flow")
 
 
 def netflow_v5(packets: DataFrame) -> DataFrame:

@@ -1,0 +1,538 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from cases import LONG, ROWS, table
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidelane.llm import brown_lm, components, entries, exact_dedup, langid, mixing, near_join, packing, quality, token_files, transport_stream, url_filter, vectors
+from tidelane.llm.tokens import Encoder
+
+DATA = "/root/testdata/sf0.001"
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return table(spark)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.mark.parametrize("name", sorted(entries.ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    found = con.execute(entries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    df = entries.QUERIES[name](spark, DATA)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
+
+
+# ---- 2 ----
+
+
+def test_exact_dedup_by_hand(spark, odd, none):
+    rows = exact_dedup.DigestIndex(spark).add(odd).collect()
+    assert len(rows) == len(ROWS)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.text_sha256].append(r)
+    for key, group in by.items():
+        assert sum(r.kept for r in group) == 1 and all(r.group_size == len(group) for r in group)
+    spaces = [r for r in rows if r.text_sha256 == hashlib.sha256(b"").hexdigest()]
+    assert {r.doc_id for r in spaces} == {3, 4, 5} and {r.keep_id for r in spaces} == {5}  # the longest of the blank ones
+    assert {r.keep_id for r in rows if r.doc_id in (1, 2)} == {2} and {r.keep_id for r in rows if r.doc_id in (6, None)} == {6}
+    assert exact_dedup.DigestIndex(spark).add(none).count() == 0
+    kept = exact_dedup.deduplicated(odd)
+    assert kept.columns == odd.columns and kept.count() == len(by) and exact_dedup.deduplicated(none).count() == 0
+
+
+def test_index_persists(spark):
+    index = exact_dedup.DigestIndex(spark)
+    first = table(spark, [(1, "a b", "en", "s"), (2, "c", "en", "s")])
+    assert index.add(first).filter("kept").count() == 2
+    again = {r.doc_id: r for r in index.add(table(spark, [(3, "ab", "en", "s"), (4, "d", "en", "s")])).collect()}
+    assert (again[3].kept, again[3].keep_id, again[3].group_size) == (False, 1, 2) and again[4].kept and index.frame().count() == 3
+    plan = spark.table(index.name)
+    assert plan.filter("digest is null").count() == 0
+
+
+# ---- 10 ----
+
+
+def brute_targets(sizes, weights, repeats=3):
+    total, left, target, open_ = sum(sizes), float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        level = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if level * weights[i] > repeats * sizes[i]]
+        if not over:
+            for i in open_:
+                target[i] = level * weights[i]
+            break
+        for i in over:
+            target[i] = float(repeats * sizes[i])
+            left -= target[i]
+            open_.discard(i)
+    assert abs(sum(target) - total) < 1e-6 * max(1, total)
+    return target
+
+
+def test_targets_by_water_filling(spark):
+    rng = random.Random(2)
+    for _ in range(6):
+        sizes = [rng.choice([0, 1, 5, 50, 1000, 20000]) for _ in range(rng.randrange(1, 9))]
+        df = spark.createDataFrame([(f"s{k}", s) for k, s in enumerate(sizes)], "source string, size long")
+        got = {r.source_no: r.target for r in mixing.source_targets(df).collect()}
+        want = brute_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))])
+        assert all(abs(got[k] - w) < 1e-6 * max(1, w) for k, w in enumerate(want)), sizes
+
+
+def test_mix(spark, docs, odd, none):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    per = collections.defaultdict(lambda: [0, 0.0, 0])
+    for r in rows:
+        assert r.taken == r.size * r.times and 0 <= r.times <= 3
+        per[r.source][0] += r.taken
+        per[r.source][1] = r.target
+        per[r.source][2] = max(per[r.source][2], r.size)
+    assert all(abs(t - want) <= 2 * big for t, want, big in per.values())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    odd_rows = mixing.mix(odd).collect()
+    assert len(odd_rows) == len(ROWS) and all(r.taken == 0 for r in odd_rows if r.size == 0)
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and out.count() == sum(r.times for r in odd_rows) and mixing.mixed(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+# ---- tokens: 3 and 6 ----
+
+
+@pytest.mark.parametrize("path,spaced", [(WORD_BPE, False), (BYTE_BPE, True)])
+def test_memo_is_the_library(path, spaced):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    e = Encoder(path, spaced, memo=20)
+    texts = [r[1] or "" for r in ROWS] + ["", " a", "a ", "a\n", "a\n\nb", "a  b", "x <|endoftext|> y", "<|startoftext|>", "é é ́x", "it's Don't", "a\x1cb", "İI ß ǅ  z", "1,234 5.6", "AN!! wh%%% a.b don't. ÜBE.", " x y", "µ ª º", "a\r\nb"]
+    for _ in range(2):
+        for x in texts:
+            assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+
+
+def test_grammar_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        docs = [rng.choice([5, 6, 7, 8], rng.integers(0, 60), p=[0.6, 0.3, 0.05, 0.05]).astype("<u4").tobytes() for _ in range(n // 10)] + [np.full(n, 9, "<u4").tobytes()]
+        shard = token_files.Shard(token_files.write_shard([None, *range(1, len(docs))], docs))
+        assert shard.all_ids().astype("<u4").tobytes() == b"".join(docs) and shard.doc_id(0) is None
+        for k in range(0, len(docs), 7):
+            ids = np.frombuffer(docs[k], "<u4").tolist()
+            assert shard.slice(k, 0, len(ids)) == ids and shard.slice(k, 3, 9) == ids[3:9] and shard.slice(k, len(ids) - 2, len(ids) + 5) == ids[max(0, len(ids) - 2) :]
+    assert len(shard.rules) > 5 and len(shard.seq) < 0.6 * sum(map(len, docs)) / 4
+    with pytest.raises(ValueError):
+        token_files.Shard(b"junk" * 20)
+
+
+def test_token_files(spark, odd, none):
+    t = Tokenizer.from_file(WORD_BPE)
+    shards = token_files.write_token_files(odd, WORD_BPE, shard_ids=500)
+    got = sorted(token_files.read_token_files(shards).collect(), key=lambda r: r.start)
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start = 0
+    for r, (doc_id, text, *_) in zip(got, order, strict=True):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    empty = token_files.write_token_files(none, WORD_BPE)
+    assert empty.count() == 0 and token_files.read_token_files(empty).count() == 0
+
+
+def check_pieces(rows, texts):
+    """Each id in one piece, sequences gapless; the share of padding."""
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for k, x in texts.items()}
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    assert set(by_doc) == set(ids)
+    for k, group in by_doc.items():
+        at = 0
+        for r in sorted(group, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[k]) and r.ids_crc32 == zlib.crc32(ids[k][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[k])
+    used = padded = 0
+    for group in by_seq.values():
+        at = 0
+        for r in sorted(group, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+        used, padded = used + at, padded + (at if at & (at - 1) == 0 else 1024)
+    return 1 - used / padded
+
+
+def test_packing(spark, docs, odd, none):
+    tokens = packing.tokens_of(docs, BYTE_BPE)
+    pieces = packing.pack(tokens)
+    assert check_pieces(pieces.collect(), {r.doc_id: r.text for r in docs.collect()}) < 0.02
+    seqs = packing.sequences(pieces, tokens).collect()
+    assert len(seqs) == pieces.select("sequence_id").distinct().count() and all(len(s.ids) == 4096 or s.length & (s.length - 1) == 0 and len(s.ids) == 4 * s.length for s in seqs)
+    unique = {}
+    for r in ROWS:
+        unique.setdefault(r[0], r)
+    few = table(spark, [r for r in unique.values() if r[0] is not None])
+    check_pieces(packing.packed(few).collect(), {r[0]: r[1] for r in unique.values() if r[0] is not None})
+    rows = packing.packed(odd).collect()
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0) and packing.packed(none).count() == 0
+
+
+def test_plan_places_everything():
+    rng = random.Random(4)
+    for _ in range(20):
+        histogram = {rng.randrange(1, 1025): rng.randrange(1, 400) for _ in range(rng.choice([1, 3, 60, 600]))}
+        places = packing.plan(histogram)
+        for length, n in histogram.items():
+            ranks = sorted((f, c) for le, f, c, *_ in places if le == length)
+            assert sum(c for _, c in ranks) == n and ranks[0][0] == 0 and all(a + c == b for (a, c), (b, _) in zip(ranks, ranks[1:], strict=False))
+    a, x = np.random.default_rng(0).random((20, 40)), np.maximum(np.random.default_rng(1).normal(0, 1, 40), 0)
+    assert np.linalg.norm(a @ packing.nnls(a, a @ x) - a @ x) < 1e-6 and (packing.nnls(a, -np.ones(20)) == 0).all()
+
+
+# ---- 4 ----
+
+
+def test_streams(spark, odd, none):
+    for n in (1, 15, 16, 17, 128, 129, 400):
+        payload = bytes(k % 251 for k in range(576 * n))
+        s = transport_stream.Stream(transport_stream.write_stream(payload))
+        assert s.payload == payload and s.discontinuities == 0 and s.programs == {1: 0x1000} and s.streams == {0x100: 6} and s.times == [k * 16 * 576 * 90_000 // 48_000 for k in range(-(-n // 16))] and s.random_access == list(range(0, len(s.times), 8))
+    raw = transport_stream.write_stream(bytes(576 * 40))
+    lost = raw[: 188 * 10] + raw[188 * 11 :]
+    assert transport_stream.Stream(raw[: 188 * 2] + raw[188 * 2 :]).discontinuities == 0
+    with pytest.raises(ValueError):
+        transport_stream.Stream(lost)  # an elementary packet is short now
+    with pytest.raises(ValueError):
+        transport_stream.Stream(b"x" * 188)
+    broken = bytearray(raw)
+    broken[10] ^= 1
+    with pytest.raises(ValueError):
+        transport_stream.Stream(bytes(broken))
+    rows = transport_stream.describe_media(transport_stream.store_media(odd)).collect()
+    want = collections.Counter()
+    for doc_id, text, *_ in ROWS:
+        b = (text or "").encode()
+        p = b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
+        want[doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
+    assert transport_stream.describe_media(transport_stream.store_media(none)).count() == 0
+    back = transport_stream.read_media(transport_stream.store_media(odd.filter("doc_id = 1"))).first()
+    assert bytes(back.payload).rstrip(b"\xff").decode() == ROWS[0][1] and back.times == [0] and back.random_access == [0]
+
+
+# ---- 5 ----
+
+
+def test_language_model(spark, docs, odd, none):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    for df in (docs, odd):
+        rows_in = df.collect()
+        model, vocabulary = brown_lm.train(df, ~held)
+        got = sorted(brown_lm.score(df, model, vocabulary, held).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.base_score))
+        is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+        tokens = lambda x: re.findall(rb"[^\x20\x09-\x0D]+", (x or "").encode().lower()) + [None]
+        c = collections.Counter(w for r in rows_in if not is_held(r.doc_id) for w in tokens(r.text))
+        n, v = sum(c.values()), len(c)
+        want = sorted(((r.doc_id is not None, r.doc_id or 0, sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(r.text))), r) for r in rows_in)
+        for g, (key, r) in zip(got, want, strict=True):
+            assert abs(g.base_score - key[2]) < 1e-6 * max(1, -key[2]) and g.n_tokens == len(tokens(r.text)) and g.n_known == sum(c[w] > 0 for w in tokens(r.text)) and g.train_tokens == n and g.held_out == is_held(r.doc_id) and g.score < 0
+    model, vocabulary = brown_lm.train(docs, ~held)
+    rows = brown_lm.score(docs, model, vocabulary, held).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    model, vocabulary = brown_lm.train(none, ~held)
+    assert brown_lm.score(none, model, vocabulary, held).count() == 0 and brown_lm.score(odd, model, vocabulary, held).filter("n_known > 0").count() == 0
+
+
+def test_probabilities_sum_to_one(spark, docs):
+    model, vocabulary = brown_lm.train(docs, F.lit(True))
+    assert np.allclose((10**model.step).sum(1), 1)
+    rows = vocabulary.toArrow()
+    h, n, ending = (rows.column(c).to_numpy() for c in ("h", "n", "ending"))
+    at = np.searchsorted(model.hashes, h.view(np.uint64))
+    clustered = model.unit[at] < model.first_ending
+    total = np.zeros(model.which.max() + 1)
+    np.add.at(total, model.which[model.unit[at]], 10 ** model.word[at])
+    for k in range(brown_lm.ENDINGS):
+        total[model.which[model.first_ending + k]] += 0.5 / 10 ** model.ending_log[k]  # the unknown word's share
+    used = np.unique(model.which[model.unit[at]])
+    assert np.allclose(total[used], 1, atol=1e-6) and clustered.sum() <= brown_lm.CLUSTERED
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(3)
+    seq = []
+    for _ in range(4000):
+        seq += [rng.integers(0, 6), 6 + rng.integers(0, 6)]
+    pairs = np.zeros((13, 13))
+    np.add.at(pairs, (seq[:-1], seq[1:]), 1)
+    which = brown_lm.exchange(pairs, 12, classes=2)
+    assert len(set(which[:6])) == 1 and len(set(which[6:12])) == 1 and which[0] != which[6]
+
+
+# ---- 7 ----
+
+
+def brute_rule(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, key=lambda x: len(x[0]), default=(None, None))
+    return host, path, *best
+
+
+def test_urls(spark):
+    urls = ["http://Example.com/en/a", "https://www.example.com/en/?x", "http://a.www.example.com/en/", "http://x.example.com/en/", "http://example.com/fr", "http://b.net/es/1#t", "http://b.net/en/", "http://com/", "http://com", "http://notexample.com/en/", "http://xcom.org/", None, "nothing", "://h.net/fr/?q=://z", "http://cheappillscasino.org/x", "http://HÉ.com/", "http://spam-farm.org/a", "http://thther.org/en/4?x=1#y", "", "http:///en/"]
+    pages = spark.createDataFrame([(k, u, "<p>thther thth the of and spam</p>" if k % 2 else None, "x") for k, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    rows = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    for k, u in enumerate(urls):
+        host, path, rule, verdict = brute_rule(u)
+        assert (rows[k].host, rows[k].path, rows[k].rule) == (host, path, rule), u
+        assert verdict is None or rows[k].verdict == verdict
+    assert rows[14].words[:3] == ["cheap", "pills", "casino"] and rows[14].verdict == "block" and rows[16].verdict == "block" and rows[17].verdict == "allow" and rows[11].verdict == "allow"
+    assert url_filter.judge(pages.filter("page_id < 0")).count() == 0
+
+
+def test_segmentation():
+    u = url_filter.Unigrams({"the": 100, "there": 10, "rest": 50, "in": 80})
+    assert u.split("therest") == ["the", "rest"] and u.split("restinthe") == ["rest", "in", "the"] and u.split("") == [] and "".join(u.split("q" * 500)) == "q" * 500 and u.split("qzxv") == ["qzxv"]
+
+
+# ---- 8 ----
+
+
+def shingle_set(text):
+    w = tuple(words(text))
+    return w, frozenset(w[k : k + 5] for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([w] if w else [])
+
+
+def brute_near(rows):
+    """{row number: (links, copies, class)} by comparing all texts."""
+    by = collections.defaultdict(list)
+    for k, (_, text) in enumerate(rows):
+        by[shingle_set(text)[0]].append(k)
+    reps = [v[0] for v in by.values()]
+    sets = {k: shingle_set(rows[k][1])[1] for k in reps}
+    links, parent = collections.Counter(), {k: k for k in reps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(reps):
+        for b in reps[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                links[a] += 1
+                links[b] += 1
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    classes = collections.defaultdict(list)
+    for v in by.values():
+        classes[root(v[0])] += v
+    out = {}
+    for v in by.values():
+        ids = [rows[k][0] for k in classes[root(v[0])] if rows[k][0] is not None]
+        for k in v:
+            out[k] = (links[v[0]], len(v), min(ids, default=None))
+    return out
+
+
+def near_rows():
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 6, 60, 200]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            text = list(base)
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(text)))
+    shared = " ".join(f"common{k}" for k in range(30))
+    rows += [(len(rows) + k, shared + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))) for k in range(10)]
+    return rows
+
+
+def test_near_join_against_all_pairs(spark, none):
+    # Classes are named by their smallest id, so the two texts that share an id get ids of their own here.
+    rows = near_rows() + [(r[0] if r[0] is None else 1000 + r[0] + 100 * ("same id" in (r[1] or "")), r[1]) for r in ROWS]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, bands long")
+    got = {r.row_id: r for r in near_join.near_join(df, row_col="bands").collect()}
+    want = brute_near(rows)
+    assert len(got) == len(rows)
+    for k, w in want.items():
+        assert (got[k].n_links, got[k].n_copies, got[k].class_id) == w, rows[k]
+    for r in got.values():
+        assert sum(x.kept for x in got.values() if x.class_id == r.class_id) == 1
+    assert near_join.near_join(none).count() == 0
+    out = near_join.one_of_each(df)
+    assert out.columns == df.columns and out.count() == len({w[2] for w in want.values()})
+
+
+def test_blocks_of_a_large_component(spark, monkeypatch):
+    """More texts in a component than in a block: all links are still found, none twice."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(70):
+        text = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            text[rng.randrange(120)] = f"y{rng.randrange(50)}"
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(near_join, "BLOCK", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.n_copies, r.class_id) for r in near_join.near_join(df).collect()}
+    assert got == brute_near(rows)
+
+
+def test_pruning_keeps_links():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        for share in (0.0, 0.03, 0.1, 0.25):
+            x = base.copy()
+            x[: int(200 * share)] = rng.integers(0, 1 << 63, int(200 * share), dtype=np.uint64)
+            sets.append(np.unique(x))
+    sig = near_join.minhashes(np.concatenate(sets), np.array([len(s) for s in sets]))
+    a, b = near_join.links_among(sig, sets)
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near_join.alike(sets[i], sets[j], len(np.intersect1d(sets[i], sets[j])))}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    needed = dict(near_join.least_matches())
+    assert all(0 < needed[n] < n for n in needed)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1100)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 9 and 1 ----
+
+
+def test_language_id(spark, docs, odd, none):
+    df = entries.QUERIES["op9_language_id"](spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in df) / len(df) > 0.95
+    model = langid.train(odd, F.lit(True))
+    rows = langid.identify(odd, model, ["doc_id", "text", "score"]).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "text", "score", "lang_pred", "score_", "rejected"}
+    assert all((r.lang_pred == "und") == (not langid.has_letter(r.text)) and 0 <= r.score_ <= 1 for r in rows) and all(r.rejected for r in rows if r.lang_pred == "und")
+    one = {r.text: r.score_ for r in rows}
+    alone = langid.identify(odd.filter("doc_id = 9"), model, ["text"]).first()
+    assert abs(alone.score - one[alone.text]) < 1e-12  # a text's neighbours don't matter
+    assert langid.accepted(none).count() == 0 and langid.accepted(odd).columns == odd.columns
+    nothing = langid.train(none, F.lit(True))
+    assert langid.identify(odd, nothing, ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_long_texts_are_scored_whole():
+    rng = np.random.default_rng(0)
+    logits = rng.normal(0, 1, (2 * langid.BUCKETS, 3)).astype(np.float32)
+    sums, counts = langid.sums_of([LONG, "a", LONG * 3], logits)
+    raw = langid._prepared(LONG)
+    three, four = langid._subwords(raw)
+    assert np.allclose(sums[0], logits[three].sum(0, dtype=float) + logits[four].sum(0, dtype=float), atol=1e-2) and counts[0] == 2 * (len(raw) - 4)
+    assert counts[2] > 2.9 * counts[0]
+
+
+def test_quality(spark, docs, odd, none):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+    model = quality.train(docs, labels)
+    got = quality.score(odd, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    blank = {round(r.score, 9) for r in got if r.doc_id in (3, 4)}
+    assert len(blank) == 1 and quality.score(none, model).count() == 0
+    assert {r.score for r in quality.score(odd, quality.train(docs, labels.filter("false"))).collect()} == {0.5}
+    texts = [r[1] for r in ROWS]
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-9)  # a text's neighbours don't matter
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    model = quality.Model.new(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), 0.1, rng)
+    x, bag, y = rng.normal(0, 1, (9, quality.FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 1, 0])
+
+    def loss():
+        p = quality._sigmoid(model.forward(x, bag)[0])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for name, g in model.step(x, bag, y).items():
+        flat, want = model.w[name].reshape(-1), np.asarray(g).reshape(-1)
+        for k in rng.integers(0, len(flat), 3):
+            keep = flat[k]
+            flat[k] = keep + 1e-5
+            up = loss()
+            flat[k] = keep - 1e-5
+            down = loss()
+            flat[k] = keep
+            assert abs((up - down) / 2e-5 - want[k]) < 1e-5, name
+
+
+# ---- words ----
+
+
+def test_words_and_hashes():
+    texts = ["", " a  b\nc ", "x", LONG[:1000], "\t", "é a"]
+    w = vectors.Words([t.encode() for t in texts])
+    h = w.hashes()
+    for k, t in enumerate(texts):
+        mine = words(t)
+        assert w.count[k] == len(mine)
+        assert [bytes(w.buf[s:e]).decode() for s, e in zip(w.start[w.doc == k], w.end[w.doc == k], strict=True)] == mine
+    by = collections.defaultdict(set)
+    for s, e, x in zip(w.start, w.end, h, strict=True):
+        by[bytes(w.buf[s:e])].add(int(x))
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)

@@ -50,6 +50,9 @@ def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(np.append(begin, len(words.buf)))
     kind = _KIND[words.buf]
     code = np.repeat(np.arange(n), length)[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
+    own = np.ones(len(code), bool)
+    own[words.doc_end[:-1] - 1] = False  # no pair reaches into the next text
+    code = code[own]
     x = np.zeros((n, FEATURES), np.float32)
     pairs = np.bincount(code, minlength=n * KINDS * KINDS).reshape(n, -1)
     x[:, : KINDS * KINDS] = np.sqrt(pairs / np.maximum(length, 1)[:, None])
@@ -67,7 +70,8 @@ def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, -4] = np.bincount(of_word, same, n) / safe
         x[:, -3] = np.bincount(of_word[_firsts(h ^ mixed64(of_word.astype(np.uint64)))], minlength=n) / safe
         three = h.copy()
-        three[2:] += mixed64(h[1:-1]) + mixed64(mixed64(h[:-2]))
+        three[1:] += np.where(within[1:] >= 1, mixed64(h[:-1]), np.uint64(0))
+        three[2:] += np.where(within[2:] >= 2, mixed64(mixed64(h[:-2])), np.uint64(0))
         fresh = _firsts(three ^ mixed64(words.doc.astype(np.uint64)))
         x[:, -2] = np.bincount(of_word[fresh], minlength=n) / safe
     x[:, -1] = np.log1p(count)

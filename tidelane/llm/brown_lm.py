@@ -102,7 +102,8 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
     size = len(pairs)
     pairs = pairs.astype(float)
     classes = max(1, min(classes, movable))
-    which = np.concatenate([np.arange(movable) % classes, classes + np.arange(size - movable)])
+    # Dealt at random, from a fixed seed: dealt in turn, words of alternating kinds would stand in a balance that no single move improves.
+    which = np.concatenate([np.random.default_rng(17).integers(0, classes, movable), classes + np.arange(size - movable)])
     n = classes + size - movable
     one = np.zeros((size, n))
     one[np.arange(size), which] = 1

@@ -6,35 +6,50 @@ Each stage works on all that the one before kept, and its result is written as P
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm import exact_dedup, langid, mixing, near_join, packing
-from tidelane.llm.common import saved, table
+from tidelane.llm.common import deleted, saved, scratch, table
+
+#: By application: what the stage before left in the shared folder. Its result is written before the next stage is called.
+_left: dict[str, list[str]] = {}
+
+
+def _staged(spark: SparkSession, make: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """A stage's result; the files that the stage before worked with are deleted first."""
+    application = spark.sparkContext.applicationId
+    deleted(spark, _left.pop(application, []))
+    with scratch() as paths:
+        out = make(docs)
+    _left[application] = paths
+    return out
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the languages given, rejects go: null texts, those without a letter, those of no clear language."""
-    return langid.accepted(docs)
+    return _staged(spark, langid.accepted, docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal without white space the longest stays, then the smallest id."""
-    return exact_dedup.deduplicated(docs)
+    return _staged(spark, exact_dedup.deduplicated, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one document stays, that of the smallest id."""
-    return near_join.one_of_each(docs)
+    return _staged(spark, near_join.one_of_each, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, each as often as it is taken (up to three times, or not at all)."""
-    return mixing.mixed(docs)
+    return _staged(spark, mixing.mixed, docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a sequence of at most 1024 tokens."""
-    return packing.packed(docs)
+    return _staged(spark, packing.packed, docs)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_duplicates), ("near_join", near_duplicates), ("mixing", mix_sources), ("packing", pack_windows)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +34,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelane/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that are open for the paths that ``saved`` writes.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths of what is saved within, so that they can be deleted once nothing reads them."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: this cuts lineage, and any executor can read it again."""
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)
+    for paths in _open:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files of frames from ``saved`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(spark, sorted({f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}))
 
 
 def fresh(columns: list[str], name: str) -> str:

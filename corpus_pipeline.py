@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm import exact_dedup, langid, mixing, near_join, packing
-from tidelane.llm.common import deleted, saved, scratch, table
+from tidelane.llm.common import deleted, saved, scratch, small_batches, table
 
 #: By application: what the stage before left in the shared folder. Its result is written before the next stage is called.
 _left: dict[str, list[str]] = {}
@@ -19,6 +19,7 @@ _left: dict[str, list[str]] = {}
 
 def _staged(spark: SparkSession, make: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """A stage's result; the files that the stage before worked with are deleted first."""
+    small_batches(spark)
     application = spark.sparkContext.applicationId
     deleted(spark, _left.pop(application, []))
     with scratch() as paths:

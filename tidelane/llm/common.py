@@ -16,7 +16,18 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that Python workers get at once, unless the session has a value of its own (long texts make Spark's default heavy).
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +68,7 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
 
 def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: this cuts lineage, and any executor can read it again."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, id_order, remainder, table
+from .tokens import forget
 
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 12, 32, 4.0
 #: Documents in the training sample at most, and buckets kept of one training document (the most frequent).
@@ -23,6 +24,8 @@ SAMPLE, SAMPLE_BUCKETS = 3000, 4096
 #: Part of the calibration documents that may be rejected, and the confidence from which a text never is.
 REJECT, SURE = 0.001, 0.5
 UNKNOWN = "und"
+#: Texts that are scored at once.
+ROWS = 256
 _PAD = 4
 _CHUNK = 1 << 19
 _BLANK = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
@@ -122,12 +125,12 @@ def fit(langs: list[str], ids: list[np.ndarray], parts: list[np.ndarray], seed:
     held = order[::5] if len(y) >= 50 else order[:0]
     train = np.setdiff1d(order, held)
     n = len(languages)
-    e = rng.uniform(-1, 1, (2 * BUCKETS, DIM)) / DIM
+    e = rng.uniform(-1, 1, (2 * BUCKETS, DIM)).astype(np.float32) / DIM
     w, bias = rng.normal(0, 1, (DIM, n)) / np.sqrt(DIM), np.zeros(n)
 
     def dense(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cols, at = np.unique(np.concatenate([ids[r] for r in rows]), return_inverse=True)
-        x = np.zeros((len(rows), len(cols)))
+        x = np.zeros((len(rows), len(cols)), np.float32)
         x[np.repeat(np.arange(len(rows)), [len(ids[r]) for r in rows]), at] = np.concatenate([parts[r] for r in rows])
         return cols, x
 
@@ -144,7 +147,7 @@ def fit(langs: list[str], ids: list[np.ndarray], parts: list[np.ndarray], seed:
             g[np.arange(len(rows)), y[rows]] -= 1
             g /= len(rows)
             # A bucket has a small share of a text; its embedding moves by the gradient times the number of buckets that share it.
-            e[cols] -= rate * 50 * (x.T @ (g @ w.T))
+            e[cols] -= (rate * 50 * (x.T @ (g @ w.T))).astype(np.float32)
             w -= rate * 0.25 * (h.T @ g)
             bias -= rate * 0.05 * g.sum(0)
     model = Model(languages, e @ w, bias)
@@ -166,10 +169,10 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         return Model([], np.zeros((2 * BUCKETS, 0)), np.zeros(0))
     chosen = labelled.filter(id_order(F.col(id_col)) < int(min(1.0, 0.95 * sample / n) * (1 << 60)) + 1).filter(F.col(text_col).rlike(r"\p{L}")).limit(sample)
     rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_features, "lang string, ids binary, parts binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["ids"]), bytes(r["parts"])))
+    rows = sorted(rows, key=lambda r: (r["lang"], r["ids"], r["parts"]))
     if not rows:
         return Model([], np.zeros((2 * BUCKETS, 0)), np.zeros(0))
-    return fit([r["lang"] for r in rows], [np.frombuffer(r["ids"], "<i4") for r in rows], [np.frombuffer(r["parts"], "<f4").astype(float) for r in rows])
+    return fit([r["lang"] for r in rows], [np.frombuffer(r["ids"], "<i4") for r in rows], [np.frombuffer(r["parts"], "<f4") for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -178,11 +181,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     inner = docs.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("t")]))
     at = keep.index(text_col) if text_col in keep else len(keep)
 
+    names_in = [*(f"k{k}" for k in range(len(keep))), "p", "s", "r"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            found = model.predict(batch.column(at).to_pylist())
-            lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*(f"k{k}" for k in range(len(keep))), "p", "s", "r"])
+            for lo in range(0, batch.num_rows, ROWS):  # few texts at a time are Python strings
+                part = batch.slice(lo, ROWS)
+                lang, score, rejected = zip(*model.predict(part.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names_in)
 
     kinds = "".join(f"k{k} {inner.schema[k].dataType.simpleString()}, " for k in range(len(keep)))
     return inner.mapInArrow(run, f"{kinds}p string, s double, r boolean").toDF(*keep, *names)
@@ -197,5 +204,6 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, F.coalesce(remainder(3) != 1, F.lit(False)))
-    return identify(docs, model, ["doc_id"]).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    model = train(docs, ~held_out)
+    return identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

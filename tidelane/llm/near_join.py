@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, table, text_of
+from .common import fresh, removed, saved, table, text_of
 from .components import components
+from .tokens import forget
 from .vectors import Words, chunks, mixed64
 
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -60,6 +61,7 @@ def minhashes(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         lo = 0
         for raws in chunks(t.as_py() for t in batch.column(2)):
@@ -83,6 +85,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     names = ["comp", "size", "row_id", "copies", "sig", "shingles"]
     for batch in batches:
         lo = 0
@@ -206,6 +209,7 @@ def _compared(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by component and pair of blocks; each run of them is one comparison."""
+    forget()
     held, key, found = [], None, []
 
     def out() -> pa.RecordBatch:
@@ -233,18 +237,20 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Documents whose similarity is 0.8 or more are linked, and class_id is the smallest id of those that links and equal words connect. n_links counts the
     other texts that a text is linked with, n_linked_docs their documents, n_copies the documents with the same words. One document of each class is
     ``kept``: the smallest id, then row. A null text counts as empty; texts without words are copies of one another, without links. Null ids come
-    first when one is kept, and a class of them alone has a null class_id. Rows with the same id are documents of their own. An empty
+    first when one is kept, and a class of them alone has a null class_id. Rows with the same id are documents of their own, and
+    classes whose smallest id is the same share its name. An empty
     table gives no rows. Other columns are not read.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     texts = saved(docs.select(row.alias("row_id"), F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")), "near-texts", "zstd")
     sketch = saved(texts.mapInArrow(_sketch, "row_id bigint, doc_id bigint, w1 bigint, w2 bigint, bands array<bigint>"), "near-sketch")
-    distinct = saved(sketch.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.count(F.lit(1)).alias("copies")).select("w1", "w2", F.col("rep.row_id").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "copies"), "near-distinct")
+    distinct = saved(sketch.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).select("w1", "w2", F.col("rep.row_id").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "least_id", "copies"), "near-distinct")
 
     keys = saved(sketch.join(distinct.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", F.explode("bands").alias("key")), "near-keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least")).filter("n > 1").drop("n")
     proposed = keys.join(shared, "key").filter("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b"))
     comps = saved(components(proposed).select(F.col("node").alias("row_id"), F.col("root").alias("comp")), "near-components")
+    removed(docs.sparkSession, keys)
     members = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").join(distinct.select(F.col("rep").alias("row_id"), "copies"), "row_id")
 
     sets = texts.join(members, "row_id").select("comp", "size", "row_id", "copies", "text").mapInArrow(_sets, "comp bigint, size bigint, row_id bigint, copies bigint, sig binary, shingles binary")
@@ -256,7 +262,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     links = found.groupBy("row_id").agg(F.sum("links").alias("n_links"), F.sum("linked_docs").alias("n_linked_docs"))
     groups = components(found.select(F.col("row_id").alias("a"), F.col("parent").alias("b")))
     joined = distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("row_id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    classes = joined.groupBy("root").agg(F.min("rep_doc").alias("class_id"), F.min(F.struct("rep_doc", "rep")).alias("first"))
+    classes = joined.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep_doc", "rep")).alias("first"))
     known = saved(joined.join(classes, "root").select("w1", "w2", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.col("first.rep").alias("first")), "near-classes")
     return sketch.select("row_id", "doc_id", "w1", "w2").join(known, ["w1", "w2"]).select("row_id", "doc_id", "class_id", "n_links", "n_linked_docs", F.col("copies").alias("n_copies"), (F.col("row_id") == F.col("first")).alias("kept"))
 

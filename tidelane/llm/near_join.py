@@ -23,7 +23,7 @@ from .vectors import Words, chunks, mixed64
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 #: MinHash bands and rows in each; values compared at once; probability below which a pair is dropped.
-BANDS, ROWS, STEP, TOLERANCE = 36, 7, 32, 1e-5
+BANDS, ROWS, STEP, TOLERANCE = 40, 6, 32, 1e-5
 HASHES = BANDS * ROWS
 #: Texts in a block; pairs in a tile from which it is verified as a whole; elements up to which that is done.
 BLOCK, TILE, DENSE, TILE_SIZE = 512, 64, 24, 2_000_000

@@ -431,3 +431,13 @@ def test_reassembly(spark):
     s = one(reassembly.tcp_streams(df))
     assert bytes(s.data) == hello and s.out_of_order == 1 and s.missing == 0
     assert one(reassembly.tls_records(df)).sni == "www.example.com"
+
+
+def test_unified_sequences_and_dicts(spark, parsed, tmp_path):
+    _, df = parsed([tcp4("10.0.0.1", 5, "10.0.0.2", 80, seq=1, data=b"ab"), tcp4("10.0.0.1", 5, "10.0.0.2", 80, seq=1, data=b"ab"), tcp4("10.0.0.2", 80, "10.0.0.1", 5, seq=9, data=b"c")])
+    r = one(flows.unified_sequences(df))
+    assert r.app_lengths == [2, -1] and r.pay_len == [2, 2, 1] and r.direction == [1, 1, -1] and r.n_pkts == 3 and r.iat_us == [0, 1000, 1000]
+    nested = df.limit(1).select("pkt_no", F.struct(F.lit(1).alias("b")).alias("a"))
+    assert list(sinks.to_dicts(nested)) == [{"pkt_no": 0, "a": {"b": 1}}] and list(sinks.to_dicts(nested, flatten=True)) == [{"pkt_no": 0, "a.b": 1}]
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r.a for r in sinks.read_jsonl(spark, str(tmp_path / "x.jsonl")).collect()) == [1, 2]

@@ -129,6 +129,24 @@ def bursts(packets: DataFrame) -> DataFrame:
     return runs.groupBy("flow", "run").agg(F.sum("dir").alias("n")).groupBy("flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "n"))), lambda x: x["n"]).alias("burst"))
 
 
+def unified_sequences(packets: DataFrame) -> DataFrame:
+    """Sequences of both families in one row of a flow: signed ones without retransmissions, and those of all IPv4 TCP and UDP packets with direction by
+    address. A flow may be in one of them alone; times and counts are the second's."""
+    signed = sequences(retransmissions(oriented(packets)).filter(~F.col("is_retrans")))
+    plain = oriented(packets.filter(F.col("protocol").isin(6, 17) & ~F.col("src_ip").contains(":")), "address")
+    gap, rel = F.greatest(F.coalesce(F.col("ts_us") - F.lag("ts_us").over(in_order()), F.lit(0)), F.lit(0)), F.greatest(F.col("ts_us") - F.first("ts_us").over(so_far()), F.lit(0))
+    plain = plain.withColumn("iat_us", gap).withColumn("ts_rel_us", rel)
+    row = F.struct("pkt_no", F.col("dir").alias("direction"), F.col("ip_len").alias("pkt_len"), F.col("app_len").alias("pay_len"), "iat_us", "ts_rel_us", F.col("tcp_flags").alias("flags"))
+    agg = plain.groupBy("flow").agg(F.array_sort(F.collect_list(row)).alias("r"), F.min_by("ts_us", "pkt_no").alias("first_us"), F.max_by("ts_us", "pkt_no").alias("last_us"), F.count(F.lit(1)).alias("n_pkts"))
+    lists = {"direction": "direction", "pkt_len": "pkt_len", "pay_len": "pay_len", "iat_us": "iat_us", "ts_rel_us": "ts_rel_us", "tcp_flags": "flags"}
+
+    def each(name: str) -> Column:
+        return F.transform("r", lambda x: x[name])
+
+    right = agg.select("flow", "first_us", "last_us", "n_pkts", *[each(f).alias(n) for n, f in lists.items()])
+    return signed.drop("tcp_flags").join(right, "flow", "full_outer")
+
+
 def tcp_states(packets: DataFrame) -> DataFrame:
     """Each direction's TCP state after all packets of a flow, and whether the connection is closed."""
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -47,6 +48,16 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def to_dicts(df: DataFrame, flatten: bool = False) -> Iterator[dict]:
+    """Rows as nested dicts, one partition at a time on the driver; ``flatten``: with dotted names."""
+    return (row.asDict(recursive=True) for row in (flattened(df) if flatten else df).toLocalIterator())
+
+
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON; blank lines are passed over."""
+    return spark.read.option("mode", "DROPMALFORMED").json(path)
+
+
 def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | F.abs(c).isin(float("inf")), 0.0).otherwise(c)
 

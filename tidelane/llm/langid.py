@@ -20,9 +20,9 @@ from .tokens import forget
 
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 12, 32, 4.0
 #: Documents in the training sample at most, and buckets kept of one training document (the most frequent).
-SAMPLE, SAMPLE_BUCKETS = 3000, 4096
+SAMPLE, SAMPLE_BUCKETS = 1500, 2048
 #: Part of the calibration documents that may be rejected, and the confidence from which a text never is.
-REJECT, SURE = 0.001, 0.5
+REJECT, SURE = 0.001, 0.4
 UNKNOWN = "und"
 #: Texts that are scored at once.
 ROWS = 256

@@ -2,7 +2,7 @@ import collections
 
 import corpus_pipeline
 from cases import ROWS, table
-from test_operators import brute_near, check_pieces
+from test_llm_operators import brute_near, check_pieces
 
 from tidelane.llm.common import saved
 

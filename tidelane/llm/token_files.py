@@ -30,6 +30,8 @@ _GAP = np.uint32(0xFFFFFFFF)
 #: Ids in a shard (a document is never divided), pairs replaced in a round at most, uses that a rule needs, rounds.
 SHARD_IDS, ROUND_PAIRS, LEAST_USES, ROUNDS = 1 << 20, 1024, 16, 8
 END_ID = 1
+#: Words that a worker keeps at most; more than elsewhere, as nothing else here needs memory.
+MEMO = 1_200_000
 
 
 def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ DOC_SCHEMA = "part int, seq int, doc_id bigint, local_start bigint, n_tokens big
 
 def _write_shards(tokenizer: str, spaced: bool, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, spaced).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer, spaced, MEMO).encode, int(end_id).to_bytes(4, "little")
         part, seq, numbers, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:

@@ -80,9 +80,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, memo: int = MEMO) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, memo)
 
 
 def forget() -> None:

@@ -329,6 +329,22 @@ def test_urls(spark):
     assert url_filter.judge(pages.filter("page_id < 0")).count() == 0
 
 
+def test_urls_rare_words_count(spark):
+    urls = ["http://aa.org/b/c"] * 60_000 + ["http://casino.org/k"] * 2 + ["http://zebraquilt.org/lone/lone", "http://other.org/k"]
+    htmls = ["<p>one one one</p>"] * 60_000 + ["", "", "<p>zebra quilt</p>", None]
+    pages = spark.createDataFrame(list(zip(range(len(urls)), urls, htmls, strict=True)), "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(urls) and got[60_002].words[:2] == ["zebra", "quilt"] and got[60_000].words[0] == "casino"
+    word = collections.Counter((w, "casino" in r.words) for r in got.values() for w in r.words)
+    total, size, n = {c: sum(v for (_, k), v in word.items() if k == c) for c in (False, True)}, len({w for w, _ in word}), len(urls)
+    for r in got.values():
+        odds = np.log(3 / (n - 2 + 1)) + sum(np.log((word[w, True] + 1) / (total[True] + size + 1)) - np.log((word[w, False] + 1) / (total[False] + size + 1)) for w in r.words)
+        assert abs(r.score - odds) < 1e-6
+    small = pages.filter("page_id >= 59000")
+    for whole, cut in zip(*(sorted(url_filter.judge(small, most=m).collect()) for m in (50_000, 2)), strict=True):
+        assert whole.words == cut.words and whole.verdict == cut.verdict and abs(whole.score - cut.score) < 1e-9
+
+
 def test_segmentation():
     u = url_filter.Unigrams({"the": 100, "there": 10, "rest": 50, "in": 80})
     assert u.split("therest") == ["the", "rest"] and u.split("restinthe") == ["rest", "in", "the"] and u.split("") == [] and "".join(u.split("q" * 500)) == "q" * 500 and u.split("qzxv") == ["qzxv"]

@@ -2,13 +2,13 @@
 
 Host labels are split into words by Viterbi search under a unigram model of the words of the pages themselves. Multinomial naive Bayes over the words
 of host and path is learned from all pages: those with a word of the fixed list below are its examples to block, the rest to allow, so that words
-that keep such company count too. The tables that workers get are bounded: only words with at least a ``MOST``-th of all counts are in them, and
-no more than ``MOST`` can have that; rarer ones score as unseen.
+that keep such company count too. Every word counts, however rare. The tables that workers get are bounded: words with at least a ``MOST``-th of all
+counts are in them, of which there can't be more than ``MOST``, and for segmentation those of at most ``SHORT`` letters; the counts of all others come
+by a join.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -26,9 +26,12 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "escort", "gamble", "gambling", "jackpot", "loans", "lottery", "nude", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 NEIGHBOURS = ("blog", "buy", "cam", "cheap", "club", "example", "farm", "free", "hot", "live", "news", "online", "play", "shop", "site", "track", "web", "win", "www")
 MOST = 50_000
+#: Words of so few letters are always in the workers' table: there are at most 26 + 26^2 + 26^3.
+SHORT = 3
 #: A host label's part that is searched for words at most at once, the longest word, and the count that a fixed word has at least, as a share of all.
 LABEL, LONGEST, FIXED_SHARE = 200, 24, 1e-5
 
+_FIXED = frozenset((*SEEDS, *NEIGHBOURS))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -53,14 +56,21 @@ def with_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 class Unigrams:
     """Splits concatenated names into the likeliest words. An unknown piece costs more with each character."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        floor = max(1.0, FIXED_SHARE * total)
-        known = {w: float(n) for w, n in counts.items() if len(w) <= LONGEST}
-        for w in (*SEEDS, *NEIGHBOURS):
-            known[w] = max(known.get(w, 0.0), floor)
-        self.log = {w: math.log(n / (total + floor * (len(SEEDS) + len(NEIGHBOURS)))) for w, n in known.items()}
-        self.unknown = math.log(1 / (10 * total))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: the sum of all counts, if ``counts`` has only some of the words; the others' are given to ``add`` before a name has them."""
+        self.total = (sum(counts.values()) if total is None else total) + 1
+        self.floor = max(1.0, FIXED_SHARE * self.total)
+        self.unknown = math.log(1 / (10 * self.total))
+        self.log: dict[str, float] = {}
+        self.add({w: counts.get(w, 0) for w in (*SEEDS, *NEIGHBOURS)})
+        self.add(counts)
+
+    def add(self, counts: dict[str, int]) -> None:
+        fixed = len(SEEDS) + len(NEIGHBOURS)
+        for w, n in counts.items():
+            if len(w) <= LONGEST:
+                n = max(float(n), self.floor) if w in _FIXED else float(n)
+                self.log[w] = math.log(n / (self.total + self.floor * fixed))
 
     def split(self, name: str) -> list[str]:
         return [w for lo in range(0, len(name), LABEL) for w in self._split(name[lo : lo + LABEL])]
@@ -77,14 +87,19 @@ class Unigrams:
         return words[::-1]
 
 
-def url_words(host: str, path: str, split) -> list[str]:
-    """Words of the host's labels (segmented) and of the path; digits count as #. Path words are marked by a slash."""
-    out = [w for label in re.findall(r"[^\W\d_]+|\d+", host) for w in (("#",) if label[0].isdigit() else split(label))]
-    return out + ["/" + ("#" if w[0].isdigit() else w.lower()) for w in re.findall(r"[^\W\d_]+|\d+", path)]
+def pieces(host: str) -> list[str]:
+    """What of a host is segmented or counts as #."""
+    return re.findall(r"[^\W\d_]+|\d+", host)
 
 
-def _splitter(counts: dict[str, int]):
-    return functools.lru_cache(100_000)(Unigrams(counts).split)
+def host_words(host: str, split) -> list[str]:
+    """Words of the host's labels (segmented); digits count as #."""
+    return [w for label in pieces(host) for w in (("#",) if label[0].isdigit() else split(label))]
+
+
+def path_words(path: str) -> list[str]:
+    """Words of the path, marked by a slash; digits count as #."""
+    return ["/" + ("#" if w[0].isdigit() else w.lower()) for w in re.findall(r"[^\W\d_]+|\d+", path)]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,78 +116,113 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(held)
 
 
-def _frequent(counts: DataFrame, key: list[str], most: int = MOST) -> list:
-    """The rows (at most ``most``) with at least a ``most``-th of all counts."""
-    sums = counts.groupBy(*key).agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sums.filter(F.col("n") >= max(1, total / most)).collect()
-
-
-def unigrams(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
-    """Counts of the frequent words of all pages' whole text, without tags; ASCII letters, lower case."""
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """word, n: counts of all words of all pages' whole text, without tags; ASCII letters, lower case. Those of words that are too long for a name's
+    are summed up under a null word. (In the shared folder.)"""
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^>]*>", " ")
     counts = pages.select(text.alias("t")).mapInArrow(_count_words, "word string, n bigint")
-    return {r["word"]: r["n"] for r in _frequent(counts, ["word"])}
+    return saved(counts.groupBy(F.when(F.length("word") <= LONGEST, F.col("word")).alias("word")).agg(F.sum("n").alias("n")), "url-unigrams")
 
 
-class Bayes:
-    """Multinomial naive Bayes over {(word, blocked): count} and documents by class."""
-
-    def __init__(self, counts: dict[tuple[str, bool], int], documents: dict[bool, int]):
-        vocabulary = {w for w, _ in counts}
-        totals = {c: sum(n for (_, k), n in counts.items() if k == c) for c in (False, True)}
-        smooth = {c: math.log(totals[c] + len(vocabulary) + 1) for c in totals}
-        self.weight = {w: math.log(counts.get((w, True), 0) + 1) - smooth[True] - math.log(counts.get((w, False), 0) + 1) + smooth[False] for w in vocabulary}
-        self.unseen = 0.0
-        self.prior = math.log(documents.get(True, 0) + 1) - math.log(documents.get(False, 0) + 1)
+def _candidates(local: dict[str, int]):
+    """Of each host its parts that could be words whose counts workers don't have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for host in batch.column(0).to_pylist():
+                names = {n[lo : lo + LABEL] for n in pieces(host) for lo in range(0, len(n), LABEL)}
+                parts = {n[lo:end] for n in names for lo in range(len(n)) for end in range(lo + SHORT + 1, min(lo + LONGEST, len(n)) + 1)}
+                out.append(sorted(p for p in parts if p not in local and p.isascii() and p.isalpha()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "parts"])
 
-    def score(self, words: list[str]) -> float:
-        """Log odds to block; a word that was never seen says nothing."""
-        return self.prior + sum(self.weight.get(w, self.unseen) for w in words)
+    return run
 
 
-def _learn(counts: dict[str, int]):
+def _split_hosts(local: dict[str, int], total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seeds = _splitter(counts), set(SEEDS)
+        unigrams = Unigrams(local, total)
+        for batch in batches:
+            out = []
+            for host, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = {x["word"]: x["n"] for x in found or ()}
+                unigrams.add(more)
+                out.append(host_words(host, unigrams.split))
+                for w in more:
+                    if w not in _FIXED:
+                        del unigrams.log[w]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "host_words"])
+
+    return run
+
+
+def segmented(hosts: DataFrame, counts: DataFrame, most: int = MOST) -> DataFrame:
+    """host, host_words of different hosts, by the counts of all words."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = counts.filter(F.col("word").isNotNull())
+    at_hand = (F.col("n") >= max(1, total / most)) | (F.length("word") <= SHORT) | F.col("word").isin(*sorted(_FIXED))
+    local = {r["word"]: r["n"] for r in known.filter(at_hand).collect()}
+    parts = hosts.mapInArrow(_candidates(local), "host string, parts array<string>").select("host", F.explode("parts").alias("word"))
+    found = parts.join(known.filter(~at_hand), "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return hosts.join(found, "host", "left").select("host", "found").mapInArrow(_split_hosts(local, total), "host string, host_words array<string>")
+
+
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seeds = set(SEEDS)
+    for batch in batches:
+        words = [h + path_words(p) for h, p in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        blocked = [not seeds.isdisjoint(w) for w in words]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words, pa.list_(pa.string())), pa.array(blocked, pa.bool_())], [*batch.schema.names[:4], "words", "blocked"])
+
+
+class Bayes:
+    """Multinomial naive Bayes from {blocked: count} of all words, the number of different words, and {blocked: documents}."""
+
+    def __init__(self, totals: dict[bool, int], vocabulary: int, documents: dict[bool, int]):
+        smooth = {c: math.log(totals.get(c, 0) + vocabulary + 1) for c in (False, True)}
+        self.each = smooth[False] - smooth[True]
+        self.prior = math.log(documents.get(True, 0) + 1) - math.log(documents.get(False, 0) + 1)
+
+    def weight(self, blocked: int, allowed: int) -> float:
+        """What a word with these counts adds to the log odds to block."""
+        return math.log(blocked + 1) - math.log(allowed + 1) + self.each
 
-        def out(held: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.string()), pa.array([c for _, c in held], pa.bool_()), pa.array(list(held.values()), pa.int64())], ["word", "blocked", "n"])
 
-        held: Counter = Counter()
+def _score(model: Bayes, local: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = url_words(host, path, split)
-                blocked = not seeds.isdisjoint(words)
-                held[None, blocked] += 1
-                held.update((w, blocked) for w in words)
-            if len(held) > 200_000:
-                yield out(held)
-                held = Counter()
-        yield out(held)
+            words = batch.column(4).to_pylist()
+            base = [model.prior + sum(local.get(w, 0.0) for w in ws) for ws in words]
+            away = [[w for w in ws if w not in local] for ws in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(base, pa.float64()), pa.array(away, pa.list_(pa.string()))], [*batch.schema.names[:5], "base", "away"])
 
     return run
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, most: int = MOST) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, score (log odds to block), words.
 
     A null url and one without ``://`` have an empty host and path, which no rule fits, and are judged by the prior alone. Repeated pages are judged
-    alike, each in its row. An empty table gives no rows. Null html counts as empty. Other columns are not read.
+    alike, each in its row. An empty table gives no rows. Null html counts as empty. Other columns are not read. ``most`` bounds the tables of words
+    that workers get, not what counts.
     """
-    parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    counts = unigrams(pages, html_col)
-    learned = parsed.select("host", "path").mapInArrow(_learn(counts), "word string, blocked boolean, n bigint")
-    rows = _frequent(learned, ["word", "blocked"])
-    model = Bayes({(r["word"], r["blocked"]): r["n"] for r in rows if r["word"] is not None}, {r["blocked"]: r["n"] for r in rows if r["word"] is None})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(counts)
-        for batch in batches:
-            words = [url_words(h, p, split) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.score(w) for w in words], pa.float64()), pa.array(words, pa.list_(pa.string()))], [*batch.schema.names, "score", "words"])
-
+    parsed = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     kind = parsed.schema["page_id"].dataType.simpleString()
-    scored = parsed.mapInArrow(run, f"page_id {kind}, host string, path string, score double, words array<string>")
+    hosts = segmented(parsed.select("host").distinct(), unigrams(pages, html_col), most)
+    rows = saved(
+        parsed.join(hosts, "host").select("row_id", "page_id", "host", "path", "host_words").mapInArrow(_with_words, f"row_id bigint, page_id {kind}, host string, path string, words array<string>, blocked boolean"), "url-words"
+    )
+    counts = saved(rows.select(F.explode("words").alias("word"), "blocked").groupBy("word").agg(F.count_if("blocked").alias("blocked"), F.count_if(~F.col("blocked")).alias("allowed")), "url-counts")
+    blocked, allowed, vocabulary = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0)), F.count(F.lit(1))).first()
+    model = Bayes({True: blocked, False: allowed}, vocabulary, {r["blocked"]: r["count"] for r in rows.groupBy("blocked").count().collect()})
+    at_hand = F.col("blocked") + F.col("allowed") >= max(1, (blocked + allowed) / most)
+    local = {r["word"]: model.weight(r["blocked"], r["allowed"]) for r in counts.filter(at_hand).collect()}
+    near = rows.drop("blocked").mapInArrow(_score(model, local), f"row_id bigint, page_id {kind}, host string, path string, words array<string>, base double, away array<string>")
+    weight = F.log(F.col("blocked") + 1.0) - F.log(F.col("allowed") + 1.0) + F.lit(model.each)
+    away = near.select("row_id", F.posexplode("away").alias("pos", "word")).join(counts.filter(~at_hand), "word").select("row_id", F.struct("pos", weight.alias("weight")).alias("x"))
+    # In the order of the words, so that sums don't depend on partitioning.
+    sums = away.groupBy("row_id").agg(F.aggregate(F.array_sort(F.collect_list("x")), F.lit(0.0), lambda a, x: a + x["weight"]).alias("more"))
+    scored = near.join(sums, "row_id", "left").withColumn("score", F.col("base") + F.coalesce("more", F.lit(0.0)))
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return with_rules(scored, rules).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "words")
 

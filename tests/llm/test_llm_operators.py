@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import LONG, ROWS, table
 from pyspark.sql import functions as F
@@ -302,6 +303,66 @@ def test_exchange_finds_classes():
     assert len(set(which[:6])) == 1 and len(set(which[6:12])) == 1 and which[0] != which[6]
 
 
+def likelihood(table):
+    x = lambda t: (t * np.log(np.maximum(t, 1))).sum()
+    return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+
+def test_best_class():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 4, (14, 14)) * (rng.random((14, 14)) < 0.4)
+    which = np.array([0, 0, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3, 3, 4])  # 3: all the words that are to be assigned
+    one = np.eye(5)[which]
+    for w in range(6, 13):
+        out, into, own = pairs[w] @ one, pairs[:, w] @ one, pairs[w, w]
+        out[3] -= own
+        into[3] -= own
+        values = []
+        for c in range(3):
+            moved = np.eye(5)[np.where(np.arange(14) == w, c, which)]
+            values.append(likelihood(moved.T @ pairs @ moved))
+        got = brown_lm.best_class(one.T @ pairs @ one, out[None], into[None], np.array([float(own)]))[0]
+        assert values[got] > max(values) - 1e-9
+
+
+def test_exchange_until_none_moves():
+    rng = np.random.default_rng(11)
+    pairs = rng.poisson(0.3, (121, 121))
+    which = brown_lm.exchange(pairs, 120, classes=12)
+    one = np.eye(13)[which]
+    now = likelihood(one.T @ pairs @ one)
+    for w in range(120):
+        for c in range(12):
+            moved = np.eye(13)[np.where(np.arange(121) == w, c, which)]
+            assert likelihood(moved.T @ pairs @ moved) < now + 1e-6
+
+
+def test_whole_vocabulary_has_classes(spark, docs, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 30)
+    docs = docs.unionAll(docs.limit(1).withColumn("text", F.lit("once once only Once twice of")))
+    model, vocabulary = brown_lm.train(docs, F.lit(True))
+    rows = vocabulary.toArrow()
+    of = dict(zip(rows.column("h").to_numpy().view(np.uint64).tolist(), rows.column("class").to_pylist(), strict=True))
+    end = len(model.step) - 1
+    table, seen, words_of = np.zeros((end + 1, end + 1)), set(), {}
+    for r in docs.collect():
+        for _, w in brown_lm._texts([pa.scalar(r.text)]):
+            h = w.hashes().tolist()
+            seen.update(h)
+            seq = [end, *(of[x] for x in h), end]
+            np.add.at(table, (seq[:-1], seq[1:]), 1)
+    assert set(of) == seen and len(of) > 1000 and set(of.values()) <= set(range(end)) and end <= brown_lm.CLASSES
+    own = (table.sum(0) + 1) / (table.sum() + end + 1)
+    assert np.allclose(10**model.step, (table + brown_lm.OWN * own) / (table.sum(1, keepdims=True) + brown_lm.OWN))
+    # Words whose classes come by a join score as they do where workers have them.
+    by = lambda m, v: sorted((r.doc_id or 0, r.n_known, r.base_score, r.score) for r in brown_lm.score(docs.unionAll(docs.limit(1).withColumn("text", F.lit("xyzzy plugh of"))), m, v, F.lit(False)).collect())
+    whole = by(model, vocabulary)
+    monkeypatch.setattr(brown_lm, "LOCAL", 5_000)
+    joined, vocabulary = brown_lm.train(docs, F.lit(True))
+    assert len(joined.hashes) < len(model.hashes)
+    assert np.allclose(whole, by(joined, vocabulary))
+
+
 # ---- 7 ----
 
 

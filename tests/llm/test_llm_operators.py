@@ -254,6 +254,16 @@ def test_streams(spark, odd, none):
     assert bytes(back.payload).rstrip(b"\xff").decode() == ROWS[0][1] and back.times == [0] and back.random_access == [0]
 
 
+def test_long_repeats_compress():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 60_000, 4096).astype(np.uint32)
+    seq = np.concatenate([np.append(passage, np.uint32(0xFFFFFFFF)) for _ in range(40)])
+    left, rules = token_files.compress(seq, 65536)
+    assert len(left) < 40 * 8
+    expand = lambda x: [x] if x < 65536 or x == 0xFFFFFFFF else [y for z in rules[x - 65536].tolist() for y in expand(z)]
+    assert [y for x in left.tolist() for y in expand(x)] == seq.tolist()
+
+
 # ---- 5 ----
 
 

@@ -27,8 +27,8 @@ MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<IIQI")
 #: Between documents while rules are sought; never stored.
 _GAP = np.uint32(0xFFFFFFFF)
-#: Ids in a shard (a document is never divided), pairs replaced in a round at most, uses that a rule needs, rounds.
-SHARD_IDS, ROUND_PAIRS, LEAST_USES, ROUNDS = 1 << 20, 1024, 16, 8
+#: Ids in a shard (a document is never divided), pairs replaced in a round at most, uses that make a pair frequent.
+SHARD_IDS, ROUND_PAIRS, LEAST_USES = 1 << 20, 1024, 16
 END_ID = 1
 #: Words that a worker keeps at most; more than elsewhere, as nothing else here needs memory.
 MEMO = 1_200_000
@@ -43,9 +43,7 @@ def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(remaining symbols, rules as pairs) of ids with gaps; nonterminals are numbered from ``first``."""
     rules = np.empty((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         bucket, may = _pairs(seq)
         counts = np.bincount(bucket[may], minlength=1 << 20)
         top = counts[counts >= LEAST_USES]

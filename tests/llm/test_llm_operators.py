@@ -132,13 +132,18 @@ def test_mix(spark, docs, odd, none):
 
 @pytest.mark.parametrize("path,spaced", [(WORD_BPE, False), (BYTE_BPE, True)])
 def test_memo_is_the_library(path, spaced):
+    """Against the library as it is, special tokens' strings included."""
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     e = Encoder(path, spaced, memo=20)
-    texts = [r[1] or "" for r in ROWS] + ["", " a", "a ", "a\n", "a\n\nb", "a  b", "x <|endoftext|> y", "<|startoftext|>", "é é ́x", "it's Don't", "a\x1cb", "İI ß ǅ  z", "1,234 5.6", "AN!! wh%%% a.b don't. ÜBE.", " x y", "µ ª º", "a\r\nb"]
+    texts = [r[1] or "" for r in ROWS] + ["", " a", "a ", "a\n", "a\n\nb", "a  b", "x <|endoftext|> y", "<|startoftext|>", "é é ́x", "it's Don't", "a\x1cb", "İI ß ǅ  z", "asİ.", "1,234 5.6", "AN!! wh%%% a.b don't. ÜBE.", " x y", "µ ª º", "a\r\nb"]
     for _ in range(2):
         for x in texts:
             assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+    pool = [*" \n\t.,'!&aBéÉ\xa0\x1c\x85×²ªß_-sz01µ\0I", "  ", "don't", "Hello", " world", "<|endoftext|>", "'s", "...", ". ", "\r\n", "’", "İ", "ſ", "K", "́", "Å", "̱H", "中", "Σ", "\u2003", "\u2028"]
+    rng = random.Random(11)
+    for k in range(4000):
+        x = "".join(rng.choice(pool if k % 2 else "ab ,.\nB'!é1") for _ in range(rng.randrange(14)))
+        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
 def test_grammar_round_trip():
@@ -172,7 +177,6 @@ def test_token_files(spark, odd, none):
 def check_pieces(rows, texts):
     """Each id in one piece, sequences gapless; the share of padding."""
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for k, x in texts.items()}
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -254,6 +258,28 @@ def test_streams(spark, odd, none):
     assert bytes(back.payload).rstrip(b"\xff").decode() == ROWS[0][1] and back.times == [0] and back.random_access == [0]
 
 
+def test_grammar_of_runs_and_chains():
+    """Long runs, alternations and chains of ties take few rounds, and pairs that don't pay stay."""
+    gap = np.uint32(0xFFFFFFFF)
+    cases = [np.full(200_001, 7), np.tile([1, 2], 100_000), np.tile(np.append(np.arange(30_000), gap), 5), np.tile([5, 6, 9, 9], 50)]
+    for seq in map(lambda x: x.astype(np.uint32), cases):
+        left, rules = token_files.compress(seq, 65536)
+        assert len(left) < 60
+        raw = [seq[a:b].astype("<u4").tobytes() for a, b in zip([0, *np.flatnonzero(seq == gap) + 1], [*np.flatnonzero(seq == gap), len(seq)], strict=True)]
+        assert token_files.Shard(token_files.write_shard(list(range(len(raw))), raw)).all_ids().astype("<u4").tobytes() == b"".join(raw)
+    left, rules = token_files.compress(np.array([1, 2, 3, 1, 2, 4, 1, 2], np.uint32), 65536)
+    assert len(left) == 8 and not len(rules)
+    _, rules = token_files.compress(np.random.default_rng(4).integers(0, 40, 50_000).astype(np.uint32), 65536)
+    assert token_files._lengths(rules, 65536).tolist() == by_hand(rules.tolist(), 65536)
+
+
+def by_hand(rules, first):
+    out = []
+    for pair in rules:
+        out.append(sum(out[x - first] if x >= first else 1 for x in pair))
+    return out
+
+
 def test_long_repeats_compress():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 60_000, 4096).astype(np.uint32)

@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed shards (Re-Pair).
 
-A shard holds the ids of successive documents. Frequent id pairs are replaced by nonterminals, round after round, until no pair is frequent; the
-shard stores the rules, each rule's expansion length, and the remaining symbols with an index by document. With the expansion lengths any slice
+A shard holds the ids of successive documents. Id pairs are replaced by nonterminals, round after round, until no pair occurs often enough to pay for
+its rule; the shard stores the rules, each rule's expansion length, and the remaining symbols with an index by document. With the expansion lengths any slice
 of a document is decoded without expanding what stands before it. Pairs never cross documents.
 
 Shard layout, little-endian: ``b"RPAIR1\\0\\0"``; u32 documents, u32 rules, u64 symbols, u32 first nonterminal; i64 ids of documents; u8 whether that id is
@@ -22,64 +22,85 @@ from pyspark.sql.window import Window
 
 from .common import saved, table, text_of
 from .tokens import crc, encoder
+from .vectors import mixed64
 
 MAGIC = b"RPAIR1\0\0"
 _HEAD = struct.Struct("<IIQI")
 #: Between documents while rules are sought; never stored.
 _GAP = np.uint32(0xFFFFFFFF)
-#: Ids in a shard (a document is never divided), pairs replaced in a round at most, uses that make a pair frequent.
-SHARD_IDS, ROUND_PAIRS, LEAST_USES = 1 << 20, 1024, 16
+#: Ids in a shard (a document is never divided); uses from which a pair pays for its rule, which takes three numbers, as each use spares one.
+SHARD_IDS, LEAST_USES = 1 << 20, 4
 END_ID = 1
 #: Words that a worker keeps at most; more than elsewhere, as nothing else here needs memory.
 MEMO = 1_200_000
 
 
-def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place: the bucket of the pair that begins there, and whether a pair may."""
-    a, b = seq[:-1], seq[1:]
-    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + (a >> np.uint32(7)))) >> np.uint32(12), (a != _GAP) & (b != _GAP)
+def _sorted_pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(codes of the pairs at some places, sorted; the place of each; bits of a code's second symbol)."""
+    symbol = max(int(seq[at].max()), int(seq[at + 1].max())).bit_length()
+    place = len(seq).bit_length()
+    codes = (seq[at].astype(np.uint64) << np.uint64(symbol)) | seq[at + 1]
+    if 2 * symbol + place > 64:
+        order = np.argsort(codes, kind="stable")
+        return codes[order], at[order], symbol
+    keys = (codes << np.uint64(place)) | at.astype(np.uint64)  # code and place in one number sort fastest
+    keys.sort()
+    return keys >> np.uint64(place), (keys & np.uint64((1 << place) - 1)).astype(np.int64), symbol
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
 def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(remaining symbols, rules as pairs) of ids with gaps; nonterminals are numbered from ``first``."""
-    rules = np.empty((0, 2), np.uint32)
-    while len(seq) > 1:
-        bucket, may = _pairs(seq)
-        counts = np.bincount(bucket[may], minlength=1 << 20)
-        top = counts[counts >= LEAST_USES]
-        least = int(np.partition(top, -ROUND_PAIRS)[-ROUND_PAIRS]) if len(top) > ROUND_PAIRS else LEAST_USES
-        often = may & (counts >= least)[bucket]
-        at = np.flatnonzero(often)
-        if not len(at):
+    """(remaining symbols, rules as pairs) of ids with gaps; nonterminals are numbered from ``first``.
+
+    A round replaces every pair of ``LEAST_USES`` or more uses, each where it is more frequent than the pairs that overlap it (ties: by a hash, so that
+    no long chain of ties is replaced one by one; of a run of one symbol, every other pair). Where neither symbol is new and the pair wasn't frequent
+    in the round before, it can't be frequent now, so each round looks only at the other places.
+    """
+    seq, rules = seq.copy(), [np.empty((0, 2), np.uint32)]
+    at, top = np.flatnonzero((seq[:-1] != _GAP) & (seq[1:] != _GAP)), first
+    while len(at):
+        codes, places, bits = _sorted_pairs(seq, at)
+        begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        uses = np.diff(np.append(begins, len(codes)))
+        often = uses >= LEAST_USES
+        begins, uses = begins[often], uses[often]
+        none = len(uses)
+        if not none:
             break
-        codes = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        found, which, uses = np.unique(codes, return_inverse=True, return_counts=True)
-        rank_of = np.empty(len(found), np.int64)
-        rank_of[np.lexsort((found, -uses))] = np.arange(len(found))
-        none = len(found)
-        rank_of[uses < LEAST_USES] = none
-        rank = np.full(len(seq) + 1, none)
-        rank[at + 1] = rank_of[which]  # rank[i + 1]: of the pair at i
-        here = rank[1:]
-        # A pair is replaced where it is more frequent than those that overlap it; of a run, the first.
-        take = np.flatnonzero((here[:-1] < none) & (here[:-1] < rank[:-2]) & (here[:-1] <= here[1:]))
-        used = np.bincount(here[take], minlength=none + 1)
-        good = used >= LEAST_USES // 2
-        take = take[good[here[take]]]
+        pairs = codes[begins]
+        order = np.lexsort((mixed64(pairs), -uses))
+        rank = np.empty(none, np.int32)
+        rank[order] = np.arange(none, dtype=np.int32)
+        ranks = np.full(len(seq) + 2, none, np.int32)  # at i + 1: of the pair at i
+        ranks[places[_runs(begins, uses)] + 1] = np.repeat(rank, uses)
+        here = np.flatnonzero(ranks < none)
+        mine = ranks[here]
+        opens = np.append(True, (here[1:] != here[:-1] + 1) | (mine[1:] != mine[:-1]))
+        run = np.arange(len(here))
+        run -= np.maximum.accumulate(np.where(opens, run, 0))
+        wins = (mine <= ranks[here - 1]) & (mine <= ranks[here + 1]) & (run % 2 == 0)
+        take, which = here[wins] - 1, mine[wins]
+        pays = np.bincount(which, minlength=none) >= LEAST_USES
+        take, which = take[pays[which]], which[pays[which]]
         if not len(take):
             break
-        number = np.cumsum(good[:none]) - 1
-        by_rank = np.empty(none + 1, np.uint64)
-        by_rank[rank_of] = found
-        made = by_rank[:none][good[:none]]
-        symbols = (first + len(rules) + number[here[take]]).astype(np.uint32)
-        rules = np.concatenate([rules, np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-        seq = seq.copy()
-        seq[take] = symbols
+        made = pairs[order][pays]
+        rules.append(np.stack([made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)], 1).astype(np.uint32))
+        seq[take] = (top + (np.cumsum(pays) - 1)[which]).astype(np.uint32)
+        top += len(rules[-1])
+        again = ranks[1:-1] < none
+        again[take] = True
+        again[np.maximum(take - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
-        seq = seq[keep]
-    return seq, rules
+        seq, again = seq[keep], again[keep]
+        at = np.flatnonzero(again[:-1])
+        at = at[(seq[at] != _GAP) & (seq[at + 1] != _GAP)]
+    return seq, np.concatenate(rules)
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -99,10 +120,16 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
 
 
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
-    return np.array(out, np.uint32)
+    """Expansion lengths. A rule's symbols have lower numbers than its own, so lengths are known from the lowest up, some levels at a time."""
+    out = np.zeros(first + len(rules), np.int64)
+    out[:first] = 1
+    open_ = np.arange(len(rules))
+    while len(open_):
+        a, b = out[rules[open_, 0]], out[rules[open_, 1]]
+        known = (a > 0) & (b > 0)
+        out[first + open_[known]] = (a + b)[known]
+        open_ = open_[~known]
+    return out[first:].astype(np.uint32)
 
 
 class Shard:
@@ -135,16 +162,14 @@ class Shard:
         lengths[rule] = self.lengths[self.seq[rule] - np.uint32(self.first)]
         ends = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         flat = np.empty(ends[-1], np.uint32)  # all rules' expansions, in order
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at = ends[k]
-            for x in (a, b):
-                if x < self.first:
-                    flat[at] = x
-                    at += 1
-                else:
-                    lo, hi = ends[x - self.first], ends[x - self.first + 1]
-                    flat[at : at + hi - lo] = flat[lo:hi]
-                    at += hi - lo
+        todo, at = np.arange(len(self.rules)), ends[:-1]
+        while len(todo):
+            pair = self.rules[todo]
+            left = np.where(pair[:, 0] >= self.first, self.lengths[np.maximum(pair[:, 0], self.first) - np.uint32(self.first)], 1)
+            symbols, at = pair.ravel(), np.stack([at, at + left], 1).ravel()
+            ends_here = symbols < self.first
+            flat[at[ends_here]] = symbols[ends_here]
+            todo, at = symbols[~ends_here] - np.uint32(self.first), at[~ends_here]
         flat = np.concatenate([flat, self.seq[~rule]])
         source = np.empty(len(self.seq), np.int64)
         source[rule] = ends[self.seq[rule] - np.uint32(self.first)]

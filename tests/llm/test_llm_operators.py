@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelane.llm import brown_lm, components, entries, exact_dedup, langid, mixing, near_join, packing, quality, token_files, transport_stream, url_filter, vectors
+from tidelane.llm.common import saved
 from tidelane.llm.tokens import Encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -622,6 +623,41 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert got == brute_near(rows)
 
 
+def test_buckets_of_a_chain(spark, monkeypatch):
+    """A large component of which most pairs aren't alike is compared by its buckets, with the same result."""
+    rng = random.Random(3)
+    text, rows = [f"w{k}" for k in range(200)], []
+    for k in range(300):
+        text = list(text)
+        at = rng.randrange(190)
+        text[at : at + 6] = [f"z{rng.randrange(10**6)}" for _ in range(6)]
+        rows.append((k, " ".join(text)))
+    rows += [(300 + k, rows[k][1] + " end") for k in range(0, 300, 7)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(near_join, "BLOCK", 3)
+    seen, plain = [], near_join.units_of
+
+    def spied(*args):
+        seen.append(saved(plain(*args), "test-units"))
+        return seen[-1]
+
+    monkeypatch.setattr(near_join, "units_of", spied)
+    got = {r.doc_id: (r.n_links, r.n_copies, r.class_id) for r in near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bands = [u.band for r in seen[0].collect() for u in r.units]
+    assert got == brute_near(rows) and max(bands) > 0
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from tidelane.llm import common
+
+    rows = spark.createDataFrame([(k % 3 if k < 300 else k, k) for k in range(500)], "k long, v long")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    plain = sorted(map(tuple, rows.join(side, "k").select("k", "v", "s").collect()))
+    for hot in (1, 10, 10_000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(map(tuple, common.spread_join(rows, side, ["k"], "n", 500).select("k", "v", "s").collect())) == plain
+
+
 def test_pruning_keeps_links():
     rng = np.random.default_rng(2)
     sets = []

@@ -101,6 +101,18 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
     deleted(spark, sorted({f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}))
 
 
+#: A key that has at least this part of a table's rows is hot: there can't be more of these than so many.
+HOT = 10_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key and, as ``count``, how many of the ``total`` rows have it. Rows of hot keys stay where
+    they are and get the side's at most ``HOT`` rows by broadcast; only those of all other keys are shuffled, so that no task gets a hot key."""
+    hot = F.col(count) * HOT >= max(total, HOT)
+    few = F.broadcast(side.filter(hot))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(side.filter(~hot), keys))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like ``name`` that the table doesn't have (Spark compares names without case)."""
     taken = {c.lower() for c in columns}

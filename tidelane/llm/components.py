@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, saved
+from .common import removed, saved, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of ``edges`` (a bigint, b bigint); root is the smallest node of the component.
 
     Alternating star contraction: each round links every node to the smallest of its neighbourhood, first from the larger side, then from the smaller,
-    until the edges are stars. Rounds grow with the logarithm of the longest path.
+    until the edges are stars. Rounds grow with the logarithm of the longest path. Nodes with very many edges are joined by a bounded broadcast.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _stars(now):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        upper = spread_join(both.filter("b > a"), least, ["a"], "n", 2 * now.count())
+        large = saved(upper.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        lower = spread_join(large, low, ["a"], "n", large.count()).filter("b <> m")
+        small = lower.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         then = saved(small, "edges")
-        removed(edges.sparkSession, now)
+        removed(edges.sparkSession, now, large)
         now = then
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -13,10 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, deleted, file_names, fresh, new_path, saved, table, text_of, touched
-
-#: Digests with at least this part of a batch's rows (there can't be more than so many) are joined by broadcast, all others by a shuffle.
-HOT = 10_000
+from .common import WHITE, deleted, file_names, fresh, new_path, saved, spread_join, table, text_of, touched
 
 
 class DigestIndex:
@@ -110,12 +107,8 @@ class DigestIndex:
             rows = found.select("digest", F.lit(number).cast("bigint").alias("batch"), "keep_id", "copies", "stayed")
             rows.repartition(self.buckets, "digest").write.insertInto(self.name)
             touched(self.spark, f"{self.path}/_batches/{number}-{key}-whole")
-        hot = F.col("copies") * HOT >= keyed.count()
-        # At most HOT digests: each has a HOT-th of the rows or more.
-        few = F.broadcast(found.filter(hot).drop("copies", "stayed"))
-        several = keyed.join(few, "digest")
-        rest = keyed.join(few.select("digest"), "digest", "left_anti").join(found.filter(~hot).drop("copies", "stayed"), "digest")
-        return several.unionByName(rest).select("row_id", "doc_id", "keep_id", "group_size", F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        out = spread_join(keyed, found.drop("stayed"), ["digest"], "copies", keyed.count())
+        return out.select("row_id", "doc_id", "keep_id", "group_size", F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
 Texts are sets of five-word shingles (64-bit hashes; a shorter text is one shingle). Equal word sequences form one text first, however many copies
-it has. MinHash bands propose candidates; the components of what they connect hold every proposed pair and are the units of comparison. Within
-a component, or between two blocks of a large one, MinHash values are compared 32 at a time, and a pair is dropped once the posterior probability
-(uniform prior) that its similarity reaches the threshold falls below the tolerance. What remains is verified exactly on the shingle sets. Blocks
-return one row for each text: how many links it has and whom it was joined with, so no pairs are ever written.
+it has. MinHash bands propose candidates: texts with a band's values in common are a bucket. Units of comparison hold every proposed pair: the
+components that buckets connect or, for a component of more texts than a block where that takes fewer copies of its texts, its buckets, each pair then
+counting in the first bucket that it shares. Within a unit, or between two blocks of a large one, MinHash values are compared 32 at a time, and a pair
+is dropped once the posterior probability (uniform prior) that its similarity reaches the threshold falls below the tolerance. What remains is verified
+exactly on the shingle sets. Units return one row for each text: how many links it has and whom it was joined with, so no pairs are ever written.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, removed, saved, table, text_of
+from .common import fresh, removed, saved, spread_join, table, text_of
 from .components import components
 from .tokens import forget
 from .vectors import Words, chunks, mixed64
@@ -86,15 +87,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
-    names = ["comp", "size", "row_id", "copies", "sig", "shingles"]
+    names = ["row_id", "copies", "units", "sig", "shingles"]
     for batch in batches:
         lo = 0
-        for raws in chunks(t.as_py() for t in batch.column(4)):
+        for raws in chunks(t.as_py() for t in batch.column(3)):
             hashes, count, _ = shingles(Words(raws))
             sig = minhashes(hashes, count)
             ends = np.cumsum(count)
             sets = [np.unique(hashes[e - c : e]).tobytes() for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, len(raws)) for k in range(4)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(sets, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, len(raws)) for k in range(3)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(sets, pa.binary())], names)
             lo += len(raws)
 
 
@@ -149,11 +150,16 @@ def _candidates(sig: np.ndarray, side: np.ndarray, cross: bool) -> Iterator[tupl
         yield i, j
 
 
-def links_among(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of texts at or above the threshold: those that pruning leaves, verified exactly."""
+def links_among(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, cross: bool = False, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of texts at or above the threshold: those that pruning leaves, verified exactly. ``band``: only those that share this band and none before."""
     side = np.zeros(len(sig), np.int8) if side is None else side
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in _candidates(sig, side, cross):
+        if band >= 0:
+            upto = (band + 1) * ROWS
+            shared = (sig[i, :upto] == sig[j, :upto]).reshape(-1, band + 1, ROWS).all(2)
+            here = shared[:, -1] & ~shared[:, :-1].any(1)
+            i, j = i[here], j[here]
         tile = j // TILE
         for one in np.unique(tile):
             at = tile == one
@@ -180,14 +186,14 @@ def links_among(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
 OUT_SCHEMA = "row_id bigint, parent bigint, links bigint, linked_docs bigint"
 
 
-def _compared(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """Of one component's or two blocks' texts that have links: row_id, another of the same group (the smallest here), links, documents linked."""
+def _compared(rows: list[tuple], band: int) -> list[tuple[int, int, int, int]]:
+    """Of one unit's or two blocks' texts that have links: row_id, another of the same group (the smallest here), links, documents linked."""
     if len(rows) < 2:
         return []
     row, copies = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     side = np.array([r[2] for r in rows])
     sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), HASHES)
-    a, b = links_among(sig, [np.frombuffer(r[4], np.uint64) for r in rows], side, len(np.unique(side)) > 1)
+    a, b = links_among(sig, [np.frombuffer(r[4], np.uint64) for r in rows], side, len(np.unique(side)) > 1, band)
     if not len(a):
         return []
     links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
@@ -208,7 +214,7 @@ def _compared(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by component and pair of blocks; each run of them is one comparison."""
+    """Rows come sorted by unit and pair of blocks; each run of them is one comparison."""
     forget()
     held, key, found = [], None, []
 
@@ -217,20 +223,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_id", "parent", "links", "linked_docs"])
 
     for batch in batches:
-        head = [batch.column(k).to_pylist() for k in range(6)]
+        head = [batch.column(k).to_pylist() for k in range(7)]
         for k in range(batch.num_rows):
-            now = (head[0][k], head[1][k], head[2][k])
+            now = (head[0][k], head[1][k], head[2][k], head[3][k])
             if now != key:
-                found += _compared(held)
+                found += _compared(held, key[1] if key else -1)
                 held, key = [], now
-            held.append((head[3][k], head[4][k], head[5][k], batch.column(6)[k].as_py(), batch.column(7)[k].as_py()))
+            held.append((head[4][k], head[5][k], head[6][k], batch.column(7)[k].as_py(), batch.column(8)[k].as_py()))
         if len(found) > 10_000:
             yield out()
             found = []
-    found += _compared(held)
+    found += _compared(held, key[1] if key else -1)
     yield out()
 
 
+def units_of(comps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Of each text in a component the units where it is compared: row_id, units (unit, band or -1 for a whole component, blocks of the unit)."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    # Copies of texts that comparing by buckets would take.
+    firsts = buckets.filter("row_id = least").select("row_id", "n").join(comps, "row_id").groupBy("comp").agg(F.sum(F.col("n") * blocks("n")).alias("by_bucket"))
+    plans = sizes.join(firsts, "comp").select("comp", "size", ((F.col("size") > BLOCK) & (F.col("by_bucket") < F.col("size") * blocks("size"))).alias("apart"))
+    planned = saved(spread_join(comps, plans, ["comp"], "size", comps.count()), "near-plans")
+    whole = planned.filter(~F.col("apart")).select("row_id", F.array(F.struct(F.col("comp").alias("unit"), F.lit(-1).alias("band"), blocks("size").alias("blocks"))).alias("units"))
+    apart = buckets.join(planned.filter("apart").select("row_id"), "row_id", "left_semi").select("row_id", F.struct(F.col("key").alias("unit"), "band", blocks("n").alias("blocks")).alias("u"))
+    return whole.unionByName(apart.groupBy("row_id").agg(F.collect_list("u").alias("units")))  # at most one for each band
+
+
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each document: row_id, doc_id, class_id, n_links, n_linked_docs, n_copies, kept.
 
@@ -246,25 +265,26 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     sketch = saved(texts.mapInArrow(_sketch, "row_id bigint, doc_id bigint, w1 bigint, w2 bigint, bands array<bigint>"), "near-sketch")
     distinct = saved(sketch.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).select("w1", "w2", F.col("rep.row_id").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "least_id", "copies"), "near-distinct")
 
-    keys = saved(sketch.join(distinct.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", F.explode("bands").alias("key")), "near-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least")).filter("n > 1").drop("n")
-    proposed = keys.join(shared, "key").filter("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b"))
-    comps = saved(components(proposed).select(F.col("node").alias("row_id"), F.col("root").alias("comp")), "near-components")
+    keys = saved(sketch.join(distinct.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", F.posexplode("bands").alias("band", "key")), "near-keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least")).filter("n > 1")
+    buckets = saved(spread_join(keys, shared, ["key"], "n", keys.count()), "near-buckets")
+    comps = saved(components(buckets.filter("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("row_id"), F.col("root").alias("comp")), "near-components")
     removed(docs.sparkSession, keys)
-    members = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp").join(distinct.select(F.col("rep").alias("row_id"), "copies"), "row_id")
+    units = units_of(comps, buckets)
 
-    sets = texts.join(members, "row_id").select("comp", "size", "row_id", "copies", "text").mapInArrow(_sets, "comp bigint, size bigint, row_id bigint, copies bigint, sig binary, shingles binary")
-    n = F.ceil(F.col("size") / BLOCK)
-    blocks = sets.withColumn("block", F.pmod(F.xxhash64("row_id"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-    blocks = blocks.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row_id", "copies", "block", "sig", "shingles")
-    found = saved(blocks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_compare, OUT_SCHEMA), "near-links")
+    members = units.join(distinct.select(F.col("rep").alias("row_id"), "copies"), "row_id")
+    unit = "array<struct<unit:bigint,band:int,blocks:bigint>>"
+    sets = texts.join(members, "row_id").select("row_id", "copies", "units", "text").mapInArrow(_sets, f"row_id bigint, copies bigint, units {unit}, sig binary, shingles binary")
+    blocks = sets.select("row_id", "copies", "sig", "shingles", F.explode("units").alias("u")).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("u.blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("u.blocks") - 1)))
+    blocks = blocks.select("u.unit", "u.band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row_id", "copies", "block", "sig", "shingles")
+    found = saved(blocks.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j").mapInArrow(_compare, OUT_SCHEMA), "near-links")
 
     links = found.groupBy("row_id").agg(F.sum("links").alias("n_links"), F.sum("linked_docs").alias("n_linked_docs"))
     groups = components(found.select(F.col("row_id").alias("a"), F.col("parent").alias("b")))
     joined = distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("row_id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = joined.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep_doc", "rep")).alias("first"))
     known = saved(joined.join(classes, "root").select("w1", "w2", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.col("first.rep").alias("first")), "near-classes")
-    return sketch.select("row_id", "doc_id", "w1", "w2").join(known, ["w1", "w2"]).select("row_id", "doc_id", "class_id", "n_links", "n_linked_docs", F.col("copies").alias("n_copies"), (F.col("row_id") == F.col("first")).alias("kept"))
+    return spread_join(sketch.select("row_id", "doc_id", "w1", "w2"), known, ["w1", "w2"], "copies", sketch.count()).select("row_id", "doc_id", "class_id", "n_links", "n_linked_docs", F.col("copies").alias("n_copies"), (F.col("row_id") == F.col("first")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

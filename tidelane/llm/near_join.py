@@ -186,14 +186,14 @@ def links_among(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
 OUT_SCHEMA = "row_id bigint, parent bigint, links bigint, linked_docs bigint"
 
 
-def _compared(rows: list[tuple], band: int) -> list[tuple[int, int, int, int]]:
+def _compared(rows: list[tuple], band: int, i: int, j: int) -> list[tuple[int, int, int, int]]:
     """Of one unit's or two blocks' texts that have links: row_id, another of the same group (the smallest here), links, documents linked."""
     if len(rows) < 2:
         return []
     row, copies = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     side = np.array([r[2] for r in rows])
     sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), HASHES)
-    a, b = links_among(sig, [np.frombuffer(r[4], np.uint64) for r in rows], side, len(np.unique(side)) > 1, band)
+    a, b = links_among(sig, [np.frombuffer(r[4], np.uint64) for r in rows], side, i != j, band)
     if not len(a):
         return []
     links = np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
@@ -227,13 +227,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             now = (head[0][k], head[1][k], head[2][k], head[3][k])
             if now != key:
-                found += _compared(held, key[1] if key else -1)
+                found += _compared(held, *key[1:]) if key else []
                 held, key = [], now
             held.append((head[4][k], head[5][k], head[6][k], batch.column(7)[k].as_py(), batch.column(8)[k].as_py()))
         if len(found) > 10_000:
             yield out()
             found = []
-    found += _compared(held, key[1] if key else -1)
+    found += _compared(held, *key[1:]) if key else []
     yield out()
 
 

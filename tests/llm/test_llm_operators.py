@@ -401,6 +401,45 @@ def test_exchange_until_none_moves():
             assert likelihood(moved.T @ pairs @ moved) < now + 1e-6
 
 
+def test_language_model_score_by_hand(spark, docs):
+    """The query's score from plain counts of words, classes and class pairs."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    model, vocabulary = brown_lm.train(docs, ~held)
+    texts = {r.doc_id: re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) for r in docs.collect()}
+    learned = [t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    hash_of = lambda w: int(vectors.Words([w]).hashes()[0])
+    rows = {r.h % (1 << 64): r["class"] for r in vocabulary.collect()}
+    count = collections.Counter(w for t in learned for w in t)
+    of = {w: rows[hash_of(w)] for w in count}
+    end = max(of.values()) + 1
+    ending = lambda w: int(brown_lm._endings(vectors.Words([w]))[0])
+    words_by = collections.Counter((ending(w), of[w]) for w in of)
+    distinct, tokens = collections.Counter(of.values()), collections.Counter()
+    for w, n in count.items():
+        tokens[of[w]] += n
+    most = min(distinct, key=lambda c: (-distinct[c], c))
+    of_ending = {e: min((c for x, c in words_by if x == e), key=lambda c: (-words_by[e, c], c), default=most) for e in range(brown_lm.ENDINGS)}
+    mass = {c: tokens[c] + 0.5 * (distinct[c] + sum(x == c for x in of_ending.values())) for c in range(end)}
+    pair, before, after = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in learned:
+        seq = [end, *(of[w] for w in t), end]
+        for a, b in zip(seq, seq[1:], strict=False):
+            pair[a, b] += 1
+            before[a] += 1
+            after[b] += 1
+    total = sum(pair.values())
+    for r in entries.QUERIES["op5_brown_lm"](spark, DATA).collect():
+        want, last = 0.0, end
+        for w in [*texts[r.doc_id], None]:
+            c = end if w is None else of.get(w, of_ending[ending(w)] if w not in of else 0)
+            own = (after[c] + 1) / (total + end + 1)
+            want += math.log10((pair[last, c] + brown_lm.OWN * own) / (before[last] + brown_lm.OWN))
+            if w is not None:
+                want += math.log10((count[w] + 0.5) / mass[c])
+            last = c
+        assert abs(r.score - want) < 1e-6 * max(1, -want), r.doc_id
+
+
 def test_whole_vocabulary_has_classes(spark, docs, monkeypatch):
     monkeypatch.setattr(brown_lm, "CLUSTERED", 30)
     docs = docs.unionAll(docs.limit(1).withColumn("text", F.lit("once once only Once twice of")))

@@ -11,6 +11,7 @@ decide and what needs parsed layers (``split``), so that the first part can stan
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -116,46 +117,47 @@ def parse(text: str) -> Node | None:
     return tree
 
 
-def _ends(node: Node, src: str, dst: str) -> Column:
-    source, target = F.col(src) == F.lit(node.value), F.col(dst) == F.lit(node.value)
+def _ends(node: Node, src: Column, dst: Column) -> Column:
+    source, target = src == F.lit(node.value), dst == F.lit(node.value)
     return {"src": source, "dst": target, "": source | target}[node.side]
 
 
-def compiled(node: Node | None, columns: list[str]) -> Column:
-    """The condition on packet rows. A layer is there if its column isn't null; without such a column, if protocol and ports say so."""
+def compiled(node: Node | None, columns: list[str], of: Callable[[str], Column] = F.col) -> Column:
+    """The condition on packet rows. A layer is there if its column isn't null; without such a column, if protocol and ports say so. ``of`` gives the
+    columns by name."""
     if node is None:
         return F.lit(True)
     if node.kind == "not":
-        return ~compiled(node.parts[0], columns)
+        return ~compiled(node.parts[0], columns, of)
     if node.kind in ("and", "or"):
-        out = compiled(node.parts[0], columns)
+        out = compiled(node.parts[0], columns, of)
         for part in node.parts[1:]:
-            right = compiled(part, columns)
+            right = compiled(part, columns, of)
             out = (out & right) if node.kind == "and" else (out | right)
         return out
     if node.kind == "proto":
-        leaf = F.col("protocol") == node.value
+        leaf = of("protocol") == node.value
     elif node.kind == "host":
-        leaf = _ends(node, "src_ip", "dst_ip")
+        leaf = _ends(node, of("src_ip"), of("dst_ip"))
     elif node.kind == "port":
-        leaf = F.col("protocol").isin(6, 17) & _ends(node, "src_port", "dst_port")
+        leaf = of("protocol").isin(6, 17) & _ends(node, of("src_port"), of("dst_port"))
     else:
-        leaf = _layer(str(node.value), columns)
+        leaf = _layer(str(node.value), columns, of)
     return F.coalesce(leaf, F.lit(False))
 
 
-def _layer(name: str, columns: list[str]) -> Column:
+def _layer(name: str, columns: list[str], of: Callable[[str], Column]) -> Column:
     column = {"ipv6": "ip6"}.get(name, name)
     if column in columns:
-        return F.col(column).isNotNull()
-    udp, tcp = F.col("protocol") == 17, F.col("protocol") == 6
+        return of(column).isNotNull()
+    udp, tcp = of("protocol") == 17, of("protocol") == 6
 
     def on(*ports: int) -> Column:
-        return F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
+        return of("src_port").isin(*ports) | of("dst_port").isin(*ports)
 
     rules = {
-        "ip": F.col("src_ip").isNotNull() & ~F.col("src_ip").contains(":"), "ipv6": F.col("src_ip").contains(":"), "dns": udp & on(53), "dhcp": udp & on(67, 68), "dhcpv6": udp & on(546, 547),
-        "vxlan": udp & (F.col("dst_port") == 4789), "gre": F.col("protocol") == 47, "tls": tcp & on(443),
+        "ip": of("src_ip").isNotNull() & ~of("src_ip").contains(":"), "ipv6": of("src_ip").contains(":"), "dns": udp & on(53), "dhcp": udp & on(67, 68), "dhcpv6": udp & on(546, 547),
+        "vxlan": udp & (of("dst_port") == 4789), "gre": of("protocol") == 47, "tls": tcp & on(443),
     }
     return rules.get(name, F.lit(False))
 

@@ -6,6 +6,7 @@ flow without a sign of the protocol gives no row.
 
 from __future__ import annotations
 
+import collections
 import re
 import struct
 from collections.abc import Callable
@@ -93,29 +94,42 @@ class Http(Fold):
     ]
     signature = re.compile(rb"(?:%s) |HTTP/1\.|PRI \* HTTP/2\.0" % b"|".join(m.encode() for m in HTTP_METHODS))
 
+    #: Bytes of a head that never ends which are kept: its last ones.
+    longest_head = 65536
+
     def __init__(self):
         super().__init__()
-        self.buffers, self.asked = [b"", b""], None
+        self.heads, self.bodies, self.asked = [b"", b""], [None, None], None  # what of a head is there; (line, headers, whole size, bytes still to come)
 
     def data(self, payload: bytes, client: bool, ts_us: int) -> None:
-        buf = self.buffers[not client] + payload
-        while buf:
-            if buf.startswith(b"PRI * HTTP/2.0"):
-                self.out["is_http2"], buf = True, b""
-                self.first("http_version", "2.0")
-                break
-            end = buf.find(b"\r\n\r\n")
-            if end < 0:
-                buf = buf[-65536:]
-                break
-            head = buf[:end].decode(_TEXT)
-            found = _headers(head)
-            size = int(found["content-length"]) if found.get("content-length", "").isdigit() else 0
-            if len(buf) < end + 4 + size:
-                break
-            self.message(head.split("\r\n", 1)[0], found, end + 4 + size, ts_us)
-            buf = buf[end + 4 + size :]
-        self.buffers[not client] = buf
+        side, at = not client, 0
+        while at < len(payload):
+            if self.bodies[side] is not None:  # a body is counted, never kept
+                line, found, size, left = self.bodies[side]
+                step = min(left, len(payload) - at)
+                at += step
+                self.bodies[side] = (line, found, size, left - step)
+                if left > step:
+                    return
+            else:
+                head, before = self.heads[side] + payload[at:], len(self.heads[side])
+                if head.startswith(b"PRI * HTTP/2.0"):
+                    self.out["is_http2"], self.heads[side] = True, b""
+                    self.first("http_version", "2.0")
+                    return
+                end = head.find(b"\r\n\r\n", max(0, before - 3))
+                if end < 0:
+                    self.heads[side] = head[-self.longest_head :]
+                    return
+                at += end + 4 - before
+                text = head[:end].decode(_TEXT)
+                found = _headers(text)
+                left = int(found["content-length"]) if found.get("content-length", "").isdigit() else 0
+                self.heads[side], self.bodies[side] = b"", (text.split("\r\n", 1)[0], found, end + 4 + left, left)
+            line, found, size, left = self.bodies[side]
+            if not left:
+                self.message(line, found, size, ts_us)
+                self.bodies[side] = None
 
     def message(self, line: str, h: dict[str, str], size: int, ts_us: int) -> None:
         o, parts = self.out, line.split(" ", 2)
@@ -202,6 +216,11 @@ class Ssh(Fold):
                 self.out["kex_type"] = "ecdh" if "ecdh" in kex or "curve" in kex else "dh-gex" if "group-exchange" in kex or "gex" in kex else "dh-group" if "diffie-hellman" in kex else "unknown"
         elif 30 <= kind <= 34:
             self.reach("KEX")
+            if side and kind in (31, 33) and not self.out["host_key_type"]:  # a reply begins with the server's key, which begins with its kind
+                key = tls_bytes._vector(body, 1, 4)[0]
+                name = tls_bytes._vector(key, 0, 4)[0]
+                if name and len(name) < 64 and name.isascii() and int.from_bytes(key[:4], "big") == len(name):
+                    self.out["host_key_type"] = name.decode()
         elif kind == 21:
             self.reach("NEWKEYS")
             self.keys[side] = True
@@ -211,7 +230,7 @@ class Ssh(Fold):
     def seen(self) -> bool:
         self.out["state"] = self.states[self.state]
         self.out["kex_type"] = self.out["kex_type"] or "unknown"
-        self.out["host_key_type"] = ""
+        self.out["host_key_type"] = self.out["host_key_type"] or ""
         return bool(self.out["cli_banner"] or self.out["srv_banner"] or self.state)
 
 
@@ -461,11 +480,11 @@ def rdata(b: bytes, kind: int, at: int, size: int) -> str:
 
 
 def dns_message(b: bytes) -> dict | None:
-    """Header, first question and up to 16 answers of a DNS message; None if it is too short."""
+    """Header, first question, up to 16 answers and authorities, and the EDNS payload size of a DNS message; None if it is too short."""
     if len(b) < 12:
         return None
-    number, flags, questions, answers, _, _ = struct.unpack_from("!HHHHHH", b)
-    out = {"id": number, "response": bool(flags >> 15), "opcode": DNS_OPCODES.get(flags >> 11 & 15, str(flags >> 11 & 15)), "rcode": DNS_RCODES.get(flags & 15, str(flags & 15)), "qname": "", "qtype": "", "answers": []}
+    number, flags, questions, answers, authorities, more = struct.unpack_from("!HHHHHH", b)
+    out = {"edns": 0, "authorities": [], "id": number, "response": bool(flags >> 15), "opcode": DNS_OPCODES.get(flags >> 11 & 15, str(flags >> 11 & 15)), "rcode": DNS_RCODES.get(flags & 15, str(flags & 15)), "qname": "", "qtype": "", "answers": []}
     at = 12
     for k in range(min(questions, 32)):
         name, at = dns_name(b, at)
@@ -473,19 +492,23 @@ def dns_message(b: bytes) -> dict | None:
         at += 4
         if k == 0:
             out["qname"], out["qtype"] = name, DNS_TYPES.get(kind, str(kind))
-    for _ in range(min(answers, 16)):
-        if at >= len(b):
-            break
-        name, at = dns_name(b, at)
-        if at + 10 > len(b):
-            break
-        kind, _, ttl, size = struct.unpack_from("!HHIH", b, at)
-        at += 10
-        try:
-            out["answers"].append(f"{name} {ttl} {DNS_TYPES.get(kind, str(kind))} {rdata(b, kind, at, size)}")
-        except (IndexError, struct.error):
-            break
-        at += size
+    for section, n in (("answers", answers), ("authorities", authorities), ("", more)):
+        for _ in range(n):
+            if at >= len(b):
+                return out
+            name, at = dns_name(b, at)
+            if at + 10 > len(b):
+                return out
+            kind, first, ttl, size = struct.unpack_from("!HHIH", b, at)
+            at += 10
+            if kind == 41:
+                out["edns"] = first  # the largest payload over UDP that the sender takes
+            elif section and len(out[section]) < 16:
+                try:
+                    out[section].append(f"{name} {ttl} {DNS_TYPES.get(kind, str(kind))} {rdata(b, kind, at, size)}")
+                except (IndexError, struct.error):
+                    return out
+            at += size
     return out
 
 
@@ -493,12 +516,12 @@ class Dns(Fold):
     """Messages over UDP, and over TCP by their length prefix; each response is paired with the earliest open query of its number."""
 
     ports = PORTS["dns"]
-    fields = [("queries", _L), ("responses", _L), ("nxdomain", _L), ("servfail", _L), ("rtt_min_ms", _D), ("rtt_max_ms", _D), ("rtt_avg_ms", _D), ("rtt_samples", _L), ("qnames", pa.list_(_S)), ("messages", pa.list_(_S))]
+    fields = [("queries", _L), ("responses", _L), ("nxdomain", _L), ("servfail", _L), ("rtt_min_ms", _D), ("rtt_max_ms", _D), ("rtt_avg_ms", _D), ("rtt_samples", _L), ("ns_records", _L), ("edns_size", _L), ("qnames", pa.list_(_S)), ("messages", pa.list_(_S))]
     signature = None
 
     def __init__(self):
         super().__init__()
-        self.open, self.rtts, self.buffers = [], [], [b"", b""]
+        self.open, self.rtts, self.buffers = collections.defaultdict(collections.deque), [], [b"", b""]
 
     def data(self, payload: bytes, client: bool, ts_us: int) -> None:
         parts = [payload]
@@ -516,14 +539,15 @@ class Dns(Fold):
             o["responses" if m["response"] else "queries"] += 1
             o["nxdomain"] += m["response"] and m["rcode"] == "NXDOMAIN"
             o["servfail"] += m["response"] and m["rcode"] == "SERVFAIL"
+            o["ns_records"] += sum(" NS " in x for x in m["authorities"])
+            o["edns_size"] = m["edns"] or o["edns_size"]
             self.add("qnames", m["qname"], 64)
             if len(o["messages"]) < 64:
-                o["messages"].append(f"{'R' if m['response'] else 'Q'} {m['id']} {m['opcode']} {m['rcode']} {m['qname']} {m['qtype']} " + "; ".join(m["answers"]))
+                o["messages"].append(f"{'R' if m['response'] else 'Q'} {m['id']} {m['opcode']} {m['rcode']} {m['qname']} {m['qtype']} " + "; ".join(m["answers"] + m["authorities"]))
             if not m["response"]:
-                self.open.append((m["id"], ts_us))
-            elif found := next((x for x in self.open if x[0] == m["id"]), None):
-                self.open.remove(found)
-                self.rtts.append((ts_us - found[1]) / 1000)
+                self.open[m["id"]].append(ts_us)
+            elif self.open[m["id"]]:
+                self.rtts.append((ts_us - self.open[m["id"]].popleft()) / 1000)
 
     def seen(self) -> bool:
         if self.rtts:
@@ -580,13 +604,13 @@ class Tls(Fold):
 
     def __init__(self):
         super().__init__()
-        self.buffers, self.parts, self.changed = [b"", b""], [], False
+        self.buffers, self.hidden, self.said, self.changed = [b"", b""], [False, False], None, False
 
     def data(self, payload: bytes, client: bool, ts_us: int) -> None:
         buf = self.buffers[not client] + payload
-        found, used = tls_bytes.records(buf)
+        found, used, self.hidden[not client] = tls_bytes.records_after(buf, self.hidden[not client])
         if found:
-            self.parts.append(found)
+            self.said = tls_bytes.merge_into(self.said, found)
             self.out["records"] += len(found["record_types"])
             self.out["record_bytes"] += used - 5 * len(found["record_types"])
             self.out["handshake_complete"] |= self.changed and 23 in found["record_types"]
@@ -594,8 +618,7 @@ class Tls(Fold):
         self.buffers[not client] = buf[used : used + tls_bytes.LONGEST + 5]
 
     def seen(self) -> bool:
-        merged = tls_bytes.merged(self.parts)
-        if merged is None:
+        if (merged := self.said) is None:
             return False
         for name, _ in self.fields:
             if name in merged and name != "certificates":

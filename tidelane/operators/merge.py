@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
+from pyspark.sql.window import Window
+
+from ..functions.dictionaries import PORTS
+from ..sources import quic as quic_bytes
+from ..sources import tls as tls_bytes
+from .folds import folded
 
 #: Lists that are joined instead of taken from the first packet that has them.
 APPENDED = ("handshake_types", "certificates", "record_types", "crypto_fragments")
@@ -63,3 +70,56 @@ def ext_protocol(columns: list[str]) -> Column:
     parts += [F.when(F.col(n).isNotNull(), n.upper()) for n in ("dns", "quic") if n in columns]
     stack = F.array_compact(F.array(*parts))
     return F.concat(stack, F.transform("extra_protocols", F.upper)) if "extra_protocols" in columns else stack
+
+
+class _TlsStream:
+    """The records of a flow's two directions, put together from their segments in order of arrival, as one layer. A worker holds an unfinished record of
+    each direction and what hellos and certificates said."""
+
+    fields = [("tls", tls_bytes.SCHEMA)]
+
+    def __init__(self):
+        self.sender, self.held, self.hidden, self.said = None, [b"", b""], [False, False], None
+
+    def feed(self, row: dict) -> None:
+        sender = (row["src_ip"], row["src_port"])
+        self.sender = self.sender or sender
+        side = sender != self.sender
+        data = self.held[side] + row["payload"]
+        found, used, self.hidden[side] = tls_bytes.records_after(data, self.hidden[side])
+        if found is not None:
+            self.said = tls_bytes.merge_into(self.said, found)
+        self.held[side] = data[used : used + tls_bytes.LONGEST + 5]
+
+    def result(self) -> dict | None:
+        return {"tls": self.said} if self.said else None
+
+
+def tls_streams(packets: DataFrame) -> DataFrame:
+    """flow, eligible, tls: the layer of each TCP flow that has a TLS port or a packet with a record, from whole records across its packets; null if
+    no record is whole."""
+    port = F.col("src_port").isin(*PORTS["tls"]) | F.col("dst_port").isin(*PORTS["tls"])
+    marked = packets.filter("protocol = 6").withColumn("eligible", port | F.max(F.col("tls").isNotNull()).over(Window.partitionBy("flow"))).filter("eligible")
+    found = folded(marked.filter(F.length("payload") > 0), _TlsStream, _TlsStream.fields, ["payload", "src_ip", "src_port"])
+    return marked.select("flow", "eligible").distinct().join(found.withColumnRenamed("tls", "whole_tls"), "flow", "left")
+
+
+def _crypto_hello(fragments: pd.Series) -> pd.DataFrame:
+    rows = []
+    for parts in fragments:
+        said = quic_bytes.client_hello([(x["offset"], x["data"]) for x in parts]) if parts is not None and len(parts) else None
+        rows.append((said["sni"], said["alpn"], said["cipher_suites"]) if said else (None, [], []))
+    return pd.DataFrame(rows, columns=["sni", "alpn", "cipher_suites"])
+
+
+_crypto_hello.__annotations__ = {"fragments": pd.Series, "return": pd.DataFrame}
+
+
+def quic_reassembled(layer: Column) -> Column:
+    """A flow's merged QUIC layer with what the ClientHello says that the CRYPTO fragments of all its Initials make up (64 KiB at most)."""
+    hello = F.pandas_udf(_crypto_hello, "sni string, alpn array<string>, cipher_suites array<bigint>")(layer["crypto_fragments"])
+    out = layer
+    for name in ("sni", "alpn", "cipher_suites"):
+        there = F.length(hello[name]) > 0 if name == "sni" else F.size(hello[name]) > 0
+        out = out.withField(name, F.when(F.coalesce(there, F.lit(False)), hello[name]).otherwise(layer[name]))
+    return F.when(layer.isNotNull(), out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..functions.stats import array_stats
 from ..operators import flows, merge
-from ..sources import captures, declared, layers
+from ..sources import captures, declared, headers, layers
 
 #: Layers that flows carry.
 FLOW_LAYERS = ("tls", "dns", "quic")
@@ -32,8 +32,11 @@ def flow_packets(packets: DataFrame, filter_rst: bool = False, filter_ack: bool
     return flows.retransmissions(df) if filter_retrans else df.withColumn("is_retrans", F.lit(False))
 
 
-def flow_table(df: DataFrame, statistics: bool = True, sequences: bool = False) -> DataFrame:
-    """One row for each flow from ``flow_packets``: key, counters, summary, statistics of eight sequences, merged layers and protocol stack."""
+def flow_table(df: DataFrame, statistics: bool = True, sequences: bool = False, reassemble: bool = True) -> DataFrame:
+    """One row for each flow from ``flow_packets``: key, counters, summary, statistics of eight sequences, merged layers and protocol stack.
+
+    ``reassemble``: TLS records and QUIC hellos are read across packets too.
+    """
     kept = df.filter(~F.col("is_retrans")).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(flows.in_order()))
     up, down, tcp = F.col("dir") == 1, F.col("dir") == -1, F.col("protocol") == 6
     sizes = {n: F.coalesce(F.sum(F.when(c, F.col("wirelen"))), F.lit(0)) for n, c in (("up", up), ("down", down))}
@@ -53,6 +56,11 @@ def flow_table(df: DataFrame, statistics: bool = True, sequences: bool = False)
     if "extra" in df.columns:
         columns.append(F.array_distinct(F.flatten(F.collect_list(F.map_keys("extra")))).alias("extra_protocols"))
     out = kept.groupBy("flow").agg(*columns).join(df.groupBy("flow").agg(F.count_if("is_retrans").alias("retrans_count")), "flow")
+    if reassemble and "tls" in df.columns and "payload" in df.columns:
+        out = out.join(merge.tls_streams(kept), "flow", "left")
+        out = out.withColumn("tls", F.when(F.col("eligible"), F.col("whole_tls")).otherwise(F.col("tls"))).drop("eligible", "whole_tls")
+    if reassemble and "quic" in df.columns:
+        out = out.withColumn("quic", merge.quic_reassembled(F.col("quic")))
     out = out.withColumn("ext_protocol", merge.ext_protocol(out.columns))
     if not sequences:
         return out
@@ -78,10 +86,14 @@ def analyze(
         name, parse, own = declared.compiled(declaration)
         more[name] = parse
         routes |= own
-    packets = layers.packets(captures.raw_packets(spark, path, pattern), list(FLOW_LAYERS), app_layer_parsing, more, routes)
-    if rest is None or not loose_filter:
-        default = filters.parse(default_filter) if default_filter else None
+    raw = captures.raw_packets(spark, path, pattern)
+    dropping = rest is None or not loose_filter
+    default = filters.parse(default_filter) if default_filter else None
+    if dropping:
+        raw = headers.plainly_kept(raw, default, head)
+    packets = layers.packets(raw, list(FLOW_LAYERS), app_layer_parsing, more, routes)
+    if dropping:
         packets = packets.filter(filters.compiled(default, packets.columns) & filters.compiled(head, packets.columns))
-    out = flow_table(flow_packets(packets, filter_rst, filter_ack, filter_retrans, udp_timeout), statistics, sequences)
+    out = flow_table(flow_packets(packets, filter_rst, filter_ack, filter_retrans, udp_timeout), statistics, sequences, app_layer_parsing == "full")
     out = out.filter(filters.flow_filter(tree, out.columns)) if rest is not None else out
     return out.filter(F.col("packet_count") >= min_packets) if min_packets > 1 else out

@@ -83,8 +83,9 @@ def told(then: Callable[[Column], Column], data: str = "data", link: str = "link
 
 
 def plainly_kept(raw: DataFrame, *conditions: filters.Node | None) -> DataFrame:
-    """Raw packets without the plain ones that conditions on headers drop; what is left is to be filtered again once it is parsed."""
-    nodes = [_in_hex(c) for c in conditions if c is not None]
+    """Raw packets without the plain ones that those terms of the conditions drop which headers decide; what is left is to be filtered again once it is
+    parsed."""
+    nodes = [_in_hex(head) for c in conditions if (head := filters.split(c)[0]) is not None]
     if not nodes:
         return raw
     names = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "arp"]

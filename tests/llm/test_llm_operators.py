@@ -747,6 +747,7 @@ def test_language_id(spark, docs, odd, none):
     alone = langid.identify(odd.filter("doc_id = 9"), model, ["text"]).first()
     assert abs(alone.score - one[alone.text]) < 1e-12  # a text's neighbours don't matter
     assert langid.accepted(none).count() == 0 and langid.accepted(odd).columns == odd.columns
+    assert langid.train(odd.filter("doc_id = 8"), F.lit(True)).languages == []  # a language, but no letter
     nothing = langid.train(none, F.lit(True))
     assert langid.identify(odd, nothing, ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 

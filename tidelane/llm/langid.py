@@ -183,10 +183,24 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     levels = F.broadcast(docs.sparkSession.createDataFrame(below, "level_lang string, below bigint"))  # at most LANGUAGES rows
     rows = labelled.select(F.col(lang_col).alias("lang"), id_order(F.col(id_col)).alias("ord"), F.col(text_col).alias("text"))
     chosen = rows.join(levels, F.col("lang") == F.col("level_lang")).filter(F.col("ord") < F.col("below")).filter(F.col("text").rlike(r"\p{L}")).select("lang", "ord", "text")
-    found = chosen.mapInArrow(_features, "lang string, ord bigint, ids binary, parts binary").orderBy("ord", "lang", "ids", "parts").limit(sample).collect()
-    if not found:
+    sampled = chosen.mapInArrow(_features, "lang string, ord bigint, ids binary, parts binary").orderBy("ord", "lang", "ids", "parts").limit(sample)
+    # One task of an executor gets the sample, at most `sample` rows; the driver gets the model.
+    fitted = sampled.select("lang", "ids", "parts").mapInArrow(_fit, "languages array<string>, logits binary, bias binary, temperature double, level double").first()
+    if fitted is None:
         return none
-    return fit([r["lang"] for r in found], [np.frombuffer(r["ids"], "<u2") for r in found], [np.frombuffer(r["parts"], "<f4") for r in found])
+    languages = list(fitted["languages"])
+    logits = np.frombuffer(bytes(fitted["logits"]), "<f4").reshape(2 * BUCKETS, len(languages))
+    return Model(languages, logits, np.frombuffer(bytes(fitted["bias"]), "<f8"), fitted["temperature"], fitted["level"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        columns = [[x.as_buffer() for x in table.column(name)] for name in ("ids", "parts")]
+        m = fit(table.column("lang").to_pylist(), [np.frombuffer(x, "<u2") for x in columns[0]], [np.frombuffer(x, "<f4") for x in columns[1]])
+        row = [pa.array([m.languages], pa.list_(pa.string())), pa.array([m.logits.astype("<f4").tobytes()], pa.binary()), pa.array([m.bias.astype("<f8").tobytes()], pa.binary()), pa.array([m.temperature]), pa.array([m.level])]
+        yield pa.RecordBatch.from_arrays(row, ["languages", "logits", "bias", "temperature", "level"])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -68,7 +68,3 @@ class Words:
         total = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         return mixed64((total[self.end] - total[self.start]) * inverse[self.start])
-
-
-def segment_counts(which: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(which, minlength=n)

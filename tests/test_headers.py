@@ -1,13 +1,13 @@
 import struct
 
 import pytest
-from frames import client_hello, dns_query, eth, ip4, ip6, record, tcp, tcp4, udp, udp4
+from frames import capture, client_hello, dns_query, eth, ip4, ip6, record, tcp, tcp4, udp, udp4
 from pyspark.sql import functions as F
 
 from tidelane.functions import filters
-from tidelane.operators import flows, l7, merge
+from tidelane.operators import flows, l7, merge, sinks
 from tidelane.plans.analyze import flow_packets, flow_table
-from tidelane.sources import headers, layers
+from tidelane.sources import declared, headers, layers
 from tidelane.sources.captures import RAW_SCHEMA
 
 FRAMES = [
@@ -109,3 +109,59 @@ def test_open_dns_queries():
 def test_reset_and_ack_filters(raw):
     df = flows.canonical(layers.packets(raw, []))
     assert df.count() == len(FRAMES) and flows.without_resets(df.filter("protocol = 6")).count() == df.filter("protocol = 6").count()
+
+
+def test_sequences_have_tls_types(spark):
+    payloads = [b"\x16\x03\x01\0\5\x01", b"\x16\x03\x03\0\5\x0b", b"\x14\x03\x03\0\1\1", b"\x17\x03\x03\0\1\1", b"\x16\x03\x03\0\1\x63", b"\x17\x03\x03\0\1", b"\x17\x09\x03\0\1\1", b"GET / HTTP", b"", b"\x15\x03\x03\0\2\1", b"\x18\x03\x03\0\2\1"]
+    rows = [("f", k, k * 1000, 1, 0, 0, bytearray(tcp4("10.0.0.1", 4000, "10.0.0.2", 443, seq=k * 50, data=p))) for k, p in enumerate(payloads)]
+    r = flows.plain_sequences(layers.packets(spark.createDataFrame(rows, RAW_SCHEMA), [])).first()
+    assert r.tls_type == [1, 3, 11, 13, 15, 0, 0, 0, 0, 12, 14] and r.n_pkts == 11 and r.iat_us == [0] + [1000] * 10 and r.direction == [1] * 11
+
+
+def test_exports(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, (1.5, 2.0), [1, -2], b"\1")], "k int, packet_lengths struct<mean:double,std:double>, iats array<int>, b binary")
+    assert sinks.with_features(df, ["packet_lengths", "iats"]).columns == ["k", "b", "feature.packet_lengths.mean", "feature.packet_lengths.std", "feature.iats"]
+    sinks.save_array(df, str(tmp_path / "a.json"), indent=4)
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"k": 1, "packet_lengths": {"mean": 1.5, "std": 2.0}, "iats": [1, -2], "b": "01"}] and "\n    {" in (tmp_path / "a.json").read_text()
+    sinks.save_array(df.filter("k > 1"), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
+def test_runs(spark, tmp_path, capsys):
+    from tidelane.__main__ import main
+    from tidelane.operators import registry
+    from tidelane.plans.analyze import run_statistics
+
+    (tmp_path / "c.pcap").write_bytes(capture([tcp4("10.0.0.1", 5, "10.0.0.2", 443, data=b"x"), tcp4("10.0.0.2", 443, "10.0.0.1", 5, data=b"y"), udp4("10.0.0.3", 5, "10.0.0.2", 53, dns_query(1, "a.b")), eth(bytes(28), 0x0806)]))
+    (tmp_path / "d.pcap").write_bytes(b"no capture")
+    assert run_statistics(spark, str(tmp_path), "*.pcap") == {"files_processed": 1, "packets_processed": 4, "packets_filtered": 1, "flows_created": 2, "errors": [f"file:{tmp_path}/d.pcap"]}
+    assert main(["--list"]) == 0 and "pcap" not in capsys.readouterr().out.split("\n")[0]
+    assert main([str(tmp_path / "c.pcap"), "--feature", "seq", "dns", "--output", str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert "seq\tflows=2\tpackets=4" in said and "dns\tflows=1" in said
+    flow = registry.extract(spark, str(tmp_path / "c.pcap"), "flow", str(tmp_path / "flows.json"))
+    meta = spark.read.json(str(tmp_path / "flows.json.meta")).first()
+    assert flow.flows == 2 and flow.packets == 4 and (meta.total_flows, meta.total_packets) == (2, 3) and spark.read.json(str(tmp_path / "flows.json")).count() == 2
+    whole = registry.extract(spark, str(tmp_path / "c.pcap"), "flow", str(tmp_path / "whole.json"), document=True)
+    assert whole.message == "ok" and spark.read.json(str(tmp_path / "whole.json")).first().meta.total_flows == 2
+    with pytest.raises(SystemExit):
+        main([str(tmp_path / "c.pcap"), "--feature", "nothing"])
+
+
+def test_hosts_of_tls_by_port(spark):
+    hello = record(22, client_hello())
+    rows = [("f", k, k, 1, 0, 0, bytearray(tcp4("10.0.0.1", 4000, "10.0.0.2", port, data=hello))) for k, port in enumerate((443, 8443))]
+    df = layers.packets(spark.createDataFrame(rows, RAW_SCHEMA), [])
+    assert l7.metadata(df, "tls").count() == 2 and [r.dst_port for r in l7.metadata(df, "tls", filter_port=8443).collect()] == [8443]
+
+
+def test_users_layers_keep_their_fields(spark):
+    rows = [(1, 1, {"a": '{"x":1}'}), (1, 2, {"a": '{"x":2}', "b": "{}"}), (2, 3, None)]
+    got = {r.flow: r.m for r in spark.createDataFrame(rows, "flow int, pkt_no int, extra map<string,string>").groupBy("flow").agg(merge.first_entries("extra").alias("m")).collect()}
+    assert got == {1: {"a": '{"x":1}', "b": "{}"}, 2: {}}
+    name, parse, _ = declared.compiled({"name": "q", "fields": [{"name": "n", "type": "fixed", "size": "1"}, {"name": "host", "type": "hardcoded", "parser": "dns_name"}, {"name": "rest", "type": "rest"}]})
+    assert parse(b"\x07\x01a\x02bc\0zz") == ({"n": 7, "host": "a.bc", "rest": "7a7a"}, 9)
+    with pytest.raises(ValueError):
+        declared.compiled({"name": "q", "fields": [{"name": "n", "type": "hardcoded", "parser": "x"}]})

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 FIN, SYN, RST, PSH, ACK, URG, ECE, CWR = 1, 2, 4, 8, 16, 32, 64, 128
+#: Numbers of handshake messages in the sequence of TLS types.
+TLS_HANDSHAKES = {1: 1, 2: 2, 11: 3, 12: 4, 13: 5, 14: 6, 15: 7, 16: 8, 20: 9, 4: 10}
 
 
 def has(flag: int, column: str = "tcp_flags") -> Column:
@@ -53,12 +55,6 @@ def oriented(packets: DataFrame, rule: str = "ends") -> DataFrame:
     return keyed.withColumn("idx", F.row_number().over(in_order())).withColumn("dir", F.when(F.first(ends).over(so_far()) == ends, 1).otherwise(-1))
 
 
-def server_oriented(packets: DataFrame, ports: list[int]) -> DataFrame:
-    """Adds client_to_server: by which end has a server's port; if both or neither has, by the higher sending port."""
-    source, target = F.col("src_port").isin(ports), F.col("dst_port").isin(ports)
-    return packets.withColumn("client_to_server", F.when(target & ~source, True).when(source & ~target, False).otherwise(F.col("src_port") > F.col("dst_port")))
-
-
 def without_resets(packets: DataFrame) -> DataFrame:
     return packets.filter((F.col("protocol") != 6) | ~has(RST))
 
@@ -129,22 +125,37 @@ def bursts(packets: DataFrame) -> DataFrame:
     return runs.groupBy("flow", "run").agg(F.sum("dir").alias("n")).groupBy("flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "n"))), lambda x: x["n"]).alias("burst"))
 
 
-def unified_sequences(packets: DataFrame) -> DataFrame:
-    """Sequences of both families in one row of a flow: signed ones without retransmissions, and those of all IPv4 TCP and UDP packets with direction by
-    address. A flow may be in one of them alone; times and counts are the second's."""
-    signed = sequences(retransmissions(oriented(packets)).filter(~F.col("is_retrans")))
-    plain = oriented(packets.filter(F.col("protocol").isin(6, 17) & ~F.col("src_ip").contains(":")), "address")
+def tls_type(payload: Column) -> Column:
+    """What a payload's first bytes say of TLS, as a number: 0 nothing, 1 to 10 a handshake's kind, 11 to 14 other records, 15 another handshake."""
+    record, version, kind = (F.conv(F.hex(F.substring(payload, at, n)), 16, 10).cast("int") for at, n in ((1, 1), (2, 2), (6, 1)))
+    handshake = F.coalesce(*[F.when(kind == number, value) for number, value in TLS_HANDSHAKES.items()], F.lit(15))
+    known = F.when(record == 22, handshake).when(record == 20, 11).when(record == 21, 12).when(record == 23, 13).when(record == 24, 14)
+    return F.when((F.length(payload) >= 6) & version.between(0x0200, 0x0305), F.coalesce(known, F.lit(0))).otherwise(0)
+
+
+def plain_sequences(packets: DataFrame) -> DataFrame:
+    """Sequences by flow, in order, with direction by the sender's address: direction, pkt_len, pay_len, iat_us, ts_rel_us (both at least 0), tcp_flags and,
+    where there are payloads, tls_type; the first and last time and the number of packets."""
+    df = oriented(packets, "address")
     gap, rel = F.greatest(F.coalesce(F.col("ts_us") - F.lag("ts_us").over(in_order()), F.lit(0)), F.lit(0)), F.greatest(F.col("ts_us") - F.first("ts_us").over(so_far()), F.lit(0))
-    plain = plain.withColumn("iat_us", gap).withColumn("ts_rel_us", rel)
-    row = F.struct("pkt_no", F.col("dir").alias("direction"), F.col("ip_len").alias("pkt_len"), F.col("app_len").alias("pay_len"), "iat_us", "ts_rel_us", F.col("tcp_flags").alias("flags"))
-    agg = plain.groupBy("flow").agg(F.array_sort(F.collect_list(row)).alias("r"), F.min_by("ts_us", "pkt_no").alias("first_us"), F.max_by("ts_us", "pkt_no").alias("last_us"), F.count(F.lit(1)).alias("n_pkts"))
-    lists = {"direction": "direction", "pkt_len": "pkt_len", "pay_len": "pay_len", "iat_us": "iat_us", "ts_rel_us": "ts_rel_us", "tcp_flags": "flags"}
+    lists = {"direction": F.col("dir"), "pkt_len": F.col("ip_len"), "pay_len": F.col("app_len"), "iat_us": F.col("iat_us"), "ts_rel_us": F.col("ts_rel_us"), "tcp_flags": F.col("tcp_flags")}
+    if "payload" in packets.columns:
+        lists["tls_type"] = F.when(F.col("protocol") == 6, tls_type(F.col("payload"))).otherwise(0)
+    row = F.struct("pkt_no", *[c.alias(n) for n, c in lists.items()])
+    agg = df.withColumn("iat_us", gap).withColumn("ts_rel_us", rel).groupBy("flow").agg(F.array_sort(F.collect_list(row)).alias("r"), F.min_by("ts_us", "pkt_no").alias("first_us"), F.max_by("ts_us", "pkt_no").alias("last_us"), F.count(F.lit(1)).alias("n_pkts"))
 
     def each(name: str) -> Column:
         return F.transform("r", lambda x: x[name])
 
-    right = agg.select("flow", "first_us", "last_us", "n_pkts", *[each(f).alias(n) for n, f in lists.items()])
-    return signed.drop("tcp_flags").join(right, "flow", "full_outer")
+    return agg.select("flow", "first_us", "last_us", "n_pkts", *[each(n).alias(n) for n in lists])
+
+
+def unified_sequences(packets: DataFrame) -> DataFrame:
+    """Sequences of both families in one row of a flow: signed ones without retransmissions, and those of all IPv4 TCP and UDP packets with direction by
+    address. A flow may be in one of them alone; times and counts are the second's."""
+    signed = sequences(retransmissions(oriented(packets)).filter(~F.col("is_retrans")))
+    plain = plain_sequences(packets.filter(F.col("protocol").isin(6, 17) & ~F.col("src_ip").contains(":")))
+    return signed.drop("tcp_flags").join(plain, "flow", "full_outer")
 
 
 def tcp_states(packets: DataFrame) -> DataFrame:

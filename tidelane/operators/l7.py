@@ -636,8 +636,10 @@ KINDS: dict[str, type[Fold]] = {"http": Http, "ssh": Ssh, "mqtt": Mqtt, "sip": S
 _TRANSPORT = {"quic": (17,), "dhcp": (17,), "http": (6,), "ssh": (6,), "mqtt": (6,), "rdp": (6,), "vnc": (6,), "tls": (6,)}
 
 
-def metadata(packets: DataFrame, kind: str) -> DataFrame:
-    """One row for each flow of that kind; packets without data take no part."""
+def metadata(packets: DataFrame, kind: str, filter_port: int = 0) -> DataFrame:
+    """One row for each flow of that kind; packets without data take no part. ``filter_port``: only flows with that port at an end."""
+    if filter_port:
+        packets = packets.filter((F.col("src_port") == filter_port) | (F.col("dst_port") == filter_port))
     fold: Callable = KINDS[kind]
     near = F.col("src_port").isin(*fold.ports) | F.col("dst_port").isin(*fold.ports)
     signed = F.lit(False)

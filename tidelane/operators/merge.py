@@ -44,6 +44,14 @@ def first_wins(layer: str, schema: StructType) -> Column:
     return F.when(F.count(F.col(layer)) > 0, F.struct(*fields))
 
 
+def first_entries(column: str) -> Column:
+    """Of a map column the first value of each key, in the order of packets, as one map."""
+    rows = F.array_sort(F.collect_list(F.when(F.size(F.col(column)) > 0, F.struct("pkt_no", F.map_entries(F.col(column)).alias("e")))))
+    entries = F.flatten(F.transform(rows, lambda x: x["e"]))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(entries, lambda e: e["key"] == k)[0]["value"]))
+
+
 def dns_union() -> Column:
     """Query names in first-seen order; of codes and counts the first that isn't 0, of flags the first."""
     names = F.array_distinct(joined(F.col("dns.queries")))

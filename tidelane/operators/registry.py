@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from enum import Enum
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import captures, layers
@@ -46,8 +47,8 @@ def _ip4(packets: DataFrame) -> DataFrame:
 
 
 def _sequences(packets: DataFrame) -> DataFrame:
-    df = flows.oriented(_ip4(packets), "address")
-    return flows.sequences(df).join(flows.bursts(df), "flow")
+    kept = _ip4(packets)
+    return flows.plain_sequences(kept).join(flows.bursts(flows.oriented(kept, "address")), "flow")
 
 
 def _payloads(packets: DataFrame) -> DataFrame:
@@ -129,35 +130,63 @@ def features_of(packets: DataFrame, name: str, n_packets: int = 0) -> DataFrame:
     return spec.run(packets)
 
 
-def extract(spark: SparkSession, capture: str, name: str, output: str | None = None, n_packets: int = 0, pattern: str | None = None) -> ExtractStats:
-    """Runs one kind on a capture or a folder of them and writes it; for ``pcap_split`` a table of captures."""
-    began, kind = time.time(), resolve_feature(name)
-    raw = captures.raw_packets(spark, capture, pattern)
-    parsed = layers.packets(raw, [])
-    out = output or sinks.default_output(capture, kind)
-    rows = sinks.split_captures(raw, parsed) if kind == SPLIT else features_of(parsed, kind, n_packets)
+def _write(rows: DataFrame, kind: str, out: str, document: bool) -> int:
+    """Writes rows as their kind is written; how many there were is counted on the way."""
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     if kind == SPLIT:
         rows.write.mode("overwrite").parquet(out)
     elif KINDS[kind].output == "csv":
         sinks.as_text(rows).write.mode("overwrite").option("header", True).csv(out)
     elif KINDS[kind].output == "log":
         sinks.log_lines(rows, kind).write.mode("overwrite").text(out)
-    elif kind == "flow":
-        sinks.as_document(rows, total_flows=F.count(F.lit(1)), total_packets=F.sum("netflow_v5.d_pkts"), total_bytes=F.sum("netflow_v5.d_octets")).coalesce(1).write.mode("overwrite").text(out)
+    elif kind == "flow" and document:
+        sinks.as_document(rows, **_totals()).coalesce(1).write.mode("overwrite").text(out)
     else:
         rows.write.mode("overwrite").json(out)
-    return ExtractStats(kind, rows.count(), raw.count(), time.time() - began, out)
+        if kind == "flow":
+            rows.sparkSession.read.schema(rows.schema).json(out).agg(*[c.alias(k) for k, c in _totals().items()]).write.mode("overwrite").json(f"{out}.meta")
+    return seen.get["n"]
+
+
+def _totals() -> dict[str, Column]:
+    return {"total_flows": F.count(F.lit(1)), "total_packets": F.sum("netflow_v5.d_pkts"), "total_bytes": F.sum("netflow_v5.d_octets")}
+
+
+def _run(raw: DataFrame, parsed: DataFrame, packets: int, kind: str, out: str, n_packets: int, document: bool) -> ExtractStats:
+    began = time.time()
+    rows = sinks.split_captures(raw, parsed) if kind == SPLIT else features_of(parsed, kind, n_packets)
+    return ExtractStats(kind, _write(rows, kind, out, document), packets, time.time() - began, out)
+
 
+def extract(spark: SparkSession, capture: str, name: str, output: str | None = None, n_packets: int = 0, pattern: str | None = None, document: bool = False) -> ExtractStats:
+    """Runs one kind on a capture or a folder of them and writes it; for ``pcap_split`` a table of captures. ``flow`` is written as lines, with totals beside
+    them in ``<output>.meta``; with ``document``, as one JSON document, which has all flows in one place."""
+    kind = resolve_feature(name)
+    stats = extract_all(spark, capture, (kind,), n_packets=n_packets, pattern=pattern, outputs={kind: output} if output else None, document=document, strict=True)
+    return stats[kind]
 
-def extract_all(spark: SparkSession, capture: str, names: tuple[str, ...] = DEFAULT_BATCH, folder: str | None = None, n_packets: int = 0) -> dict[str, ExtractStats]:
-    """Runs several kinds; a kind that fails is reported in its message and doesn't stop the rest."""
+
+def extract_all(
+    spark: SparkSession, capture: str, names: tuple[str, ...] = DEFAULT_BATCH, folder: str | None = None, n_packets: int = 0, pattern: str | None = None, outputs: dict[str, str] | None = None, document: bool = False, strict: bool = False
+) -> dict[str, ExtractStats]:
+    """Runs several kinds on packets that are parsed once; a kind that fails is reported in its message and doesn't stop the rest (``strict``: it does)."""
+    kinds = [resolve_feature(n) for n in names]
+    raw = captures.raw_packets(spark, capture, pattern)
+    parsed = layers.packets(raw, []).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
-    for name in names:
-        kind = resolve_feature(name)
-        try:
-            out[kind] = extract(spark, capture, kind, sinks.default_output(capture, kind, folder), n_packets)
-        except Exception as e:  # noqa: BLE001  the message is the result
-            out[kind] = ExtractStats(kind, message=f"{type(e).__name__}: {e}"[:500])
+    try:
+        packets = parsed.count()
+        for kind in kinds:
+            to = (outputs or {}).get(kind) or sinks.default_output(capture, kind, folder)
+            try:
+                out[kind] = _run(raw, parsed, packets, kind, to, n_packets, document)
+            except Exception as e:  # noqa: BLE001  the message is the result
+                if strict:
+                    raise
+                out[kind] = ExtractStats(kind, message=f"{type(e).__name__}: {e}"[:500])
+    finally:
+        parsed.unpersist()
     return out
 
 
@@ -214,6 +243,13 @@ class Registry:
             visit(name)
         return out
 
+    def get_info(self, name: str) -> Feature:
+        """A feature's type, dependencies and builder; KeyError if there is none of that name."""
+        return self.features[name]
+
+    def extract_selected(self, packets: DataFrame, names: list[str]) -> DataFrame:
+        return self.extract(packets, names)
+
     def extract(self, packets: DataFrame, names: list[str] | None = None) -> DataFrame:
         """flow and the features asked for (all by default), from oriented packets."""
         wanted = list(self.features) if names is None else names

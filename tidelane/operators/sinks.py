@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -58,8 +59,26 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").json(path)
 
 
-def finite(c: Column) -> Column:
-    return F.when(F.isnan(c) | F.abs(c).isin(float("inf")), 0.0).otherwise(c)
+def with_features(df: DataFrame, names: list[str]) -> DataFrame:
+    """Flows with the statistics and sequences of these names as columns ``feature.<name>.<statistic>`` or ``feature.<name>``, after all others."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    more = []
+    for name in names:
+        if isinstance(kinds[name], StructType):
+            more += [F.col(f"`{name}`").getField(x).alias(f"feature.{name}.{x}") for x in kinds[name].names]
+        else:
+            more.append(F.col(f"`{name}`").alias(f"feature.{name}"))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *more)
+
+
+def save_array(df: DataFrame, path: str, indent: int = 2) -> None:
+    """Rows as one JSON array in a file of the driver's, read one partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for k, row in enumerate(to_dicts(df)):
+            text = json.dumps(row, indent=indent, default=lambda x: x.hex() if isinstance(x, (bytes, bytearray)) else str(x))
+            f.write((",\n" if k else "\n") + " " * indent + text.replace("\n", "\n" + " " * indent))
+        f.write("\n]\n" if df.columns else "]")
 
 
 def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

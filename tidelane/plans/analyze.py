@@ -55,6 +55,7 @@ def flow_table(df: DataFrame, statistics: bool = True, sequences: bool = False,
             columns.append((merge.dns_union() if name == "dns" else merge.first_wins(name, df.schema[name].dataType)).alias(name))
     if "extra" in df.columns:
         columns.append(F.array_distinct(F.flatten(F.collect_list(F.map_keys("extra")))).alias("extra_protocols"))
+        columns.append(merge.first_entries("extra").alias("extra_layers"))
     out = kept.groupBy("flow").agg(*columns).join(df.groupBy("flow").agg(F.count_if("is_retrans").alias("retrans_count")), "flow")
     if reassemble and "tls" in df.columns and "payload" in df.columns:
         out = out.join(merge.tls_streams(kept), "flow", "left")
@@ -97,3 +98,13 @@ def analyze(
     out = flow_table(flow_packets(packets, filter_rst, filter_ack, filter_retrans, udp_timeout), statistics, sequences, app_layer_parsing == "full")
     out = out.filter(filters.flow_filter(tree, out.columns)) if rest is not None else out
     return out.filter(F.col("packet_count") >= min_packets) if min_packets > 1 else out
+
+
+def run_statistics(spark: SparkSession, path: str, pattern: str | None = None, **options) -> dict[str, int | list[str]]:
+    """What ``analyze`` with these options goes through: files_processed, packets_processed, packets_filtered, flows_created, errors (files that aren't captures)."""
+    raw = captures.raw_packets(spark, path, pattern)
+    counted = raw.agg(F.count(F.lit(1)).alias("packets")).first()
+    flows_of = analyze(spark, path, pattern=pattern, statistics=False, **options)
+    made = flows_of.agg(F.count(F.lit(1)).alias("flows"), F.coalesce(F.sum(F.col("packet_count") + F.col("retrans_count")), F.lit(0)).alias("packets")).first()
+    bad = [r["path"] for r in captures.bad_captures(spark, path, pattern).select("path").toLocalIterator()]
+    return {"files_processed": captures.files(spark, path, pattern).select("path").count() - len(bad), "packets_processed": counted["packets"], "packets_filtered": counted["packets"] - made["packets"], "flows_created": made["flows"], "errors": bad}

@@ -300,15 +300,8 @@ SELECT flow, string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS burst, count(*)
 
 def seq_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction by the sender's address; gaps and times at least 0, in microseconds."""
-    df = flows.oriented(packets(spark, sf_dir), "address")
-    gap = F.greatest(F.coalesce(F.col("ts_us") - F.lag("ts_us").over(flows.in_order()), F.lit(0)), F.lit(0))
-    rel = F.greatest(F.col("ts_us") - F.first("ts_us").over(flows.so_far()), F.lit(0))
-    rows = df.withColumn("iat_us", gap).withColumn("ts_rel_us", rel).groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("pkt_no", "dir", "ip_len", "app_len", "iat_us", "ts_rel_us", "tcp_flags"))).alias("r"))
-
-    def text(field: str) -> Column:
-        return F.array_join(F.transform("r", lambda x: x[field].cast("string")), ",")
-
-    return rows.select("flow", F.size("r").cast("bigint").alias("n_pkts"), *[text(f).alias(n) for f, n in (("dir", "direction"), ("ip_len", "pkt_len"), ("app_len", "pay_len"), ("iat_us", "iat_us"), ("ts_rel_us", "ts_rel_us"), ("tcp_flags", "tcp_flags"))])
+    rows = flows.plain_sequences(packets(spark, sf_dir))
+    return rows.select("flow", "n_pkts", *[F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in ("direction", "pkt_len", "pay_len", "iat_us", "ts_rel_us", "tcp_flags")])
 
 
 def _agg(x: str) -> str:

@@ -1,11 +1,12 @@
 """Scoring with a Brown class-based bigram model.
 
-The most frequent words, as many as the square root of the vocabulary and ``CLUSTERED`` at least, are assigned to classes by exchange clustering: each
-in turn moves to the class where the likelihood of the training bigrams is greatest, until none moves; all others stand together as one class meanwhile.
-Then each of these is assigned, by the classes before and after it wherever it stands, to the class where that likelihood is greatest, so every training
-word has a class. A word that training didn't have belongs to the class with most words of its ending (a hash of its last two bytes), and the end of a
-text is a class. A token's probability is that of its class after the class before it, interpolated with the class's own, times that of the word in its
-class, with half a count added for each known word of a class and for the unknown ones of each ending that belongs to it.
+The most frequent words, as many as the square root of the vocabulary, ``CLUSTERED`` at least and ``EXCHANGED`` at most, are assigned to classes by
+exchange clustering: each in turn moves to the class where the likelihood of the training bigrams is greatest, until none moves; all others stand
+together as one class meanwhile. Then each of these is assigned, by the classes before and after it wherever it stands, to the class where that
+likelihood is greatest, so every training word has a class. A word that training didn't have belongs to the class with most words of its ending (a
+hash of its last two bytes), and the end of a text is a class. A token's probability is that of its class after the class before it, interpolated with
+the class's own, times that of the word in its class, with half a count added for each known word of a class and for the unknown ones of each ending
+that belongs to it.
 
 Words are handled by 64-bit hashes. Workers get the counts of words that make up at least a ``LOCAL``-th of all tokens, of which there can't be more
 than that many; the counts and classes of all others come by a join.
@@ -26,6 +27,8 @@ from .vectors import Words, chunks
 
 #: Words that are exchanged at least and the classes, kinds of endings, weight of a class's own probability, bound of the local table.
 CLUSTERED, CLASSES, ENDINGS, OWN, LOCAL = 800, 64, 96, 20.0, 1_000_000
+#: Words that the driver exchanges at most: it holds their bigram counts, at most 4,098 x 4,098 numbers, whatever the corpus. All others are assigned.
+EXCHANGED = 4096
 #: Tokens that are counted at once.
 COUNTED = 1 << 21
 
@@ -166,7 +169,7 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES) -> np.ndar
     """Classes of units from their bigram counts. The first ``movable`` units are dealt over ``classes`` classes, and moved until the likelihood stands
     still; every other unit is a class of its own."""
     size = len(pairs)
-    pairs = pairs.astype(float)
+    pairs = pairs.astype(float, copy=False)
     classes = max(1, min(classes, movable))
     # Dealt at random, from a fixed seed: dealt in turn, words of alternating kinds would stand in a balance that no single move improves.
     which = np.concatenate([np.random.default_rng(17).integers(0, classes, movable), classes + np.arange(size - movable)])
@@ -339,7 +342,7 @@ def train(docs: DataFrame, may_learn: Column, text_col: str = "text") -> tuple[B
     least = max(1.0, tokens / LOCAL)
     frequent = counts.filter(F.col("n") >= least).select("h", "n").toArrow()
     h, n = frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
-    top = np.sort(h[np.lexsort((h, -n))[: max(CLUSTERED, math.isqrt(distinct))]])
+    top = np.sort(h[np.lexsort((h, -n))[: min(EXCHANGED, max(CLUSTERED, math.isqrt(distinct)))]])
     size = len(top) + 2
     rows = texts.mapInArrow(_pairs(top), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size)

@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: language ID, exact deduplication, near-duplicate join, mixing, packing.
 
 Each stage works on all that the one before kept, and its result is written as Parquet and read again. All but the last return the columns of
-``documents``; the last returns the pieces of the packed sequences.
+``documents``; the last returns the pieces of the packed sequences. An empty table gives an empty one at each stage; columns of any other names are
+carried along unread; null ids are ids like others. What a stage does with nulls, ties and repeated rows is said at each.
 """
 
 from __future__ import annotations
@@ -29,27 +30,33 @@ def _staged(spark: SparkSession, make: Callable[[DataFrame], DataFrame], docs: D
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the languages given, rejects go: null texts, those without a letter, those of no clear language."""
+    """Documents that the classifier, learned from the languages given, rejects go: null texts, those without a letter, those of no clear language.
+
+    Documents without a language are judged like others, though nothing is learned from them; empty texts go; repeated rows stay or go together.
+    """
     return _staged(spark, langid.accepted, docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal without white space the longest stays, then the smallest id."""
+    """Of documents equal without white space the longest stays, then the smallest id (null last), then one row. A null text counts as empty."""
     return _staged(spark, exact_dedup.deduplicated, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates one document stays, that of the smallest id."""
+    """Of each class of near-duplicates one document stays, that of the smallest id (null first), then one row. Texts without words are one class."""
     return _staged(spark, near_join.one_of_each, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, each as often as it is taken (up to three times, or not at all)."""
+    """Documents in the order of the mix, each as often as it is taken (up to three times, or not at all).
+
+    Documents without words are never taken; a null source is a source, the last; ties go by id, then size, then row.
+    """
     return _staged(spark, mixing.mixed, docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence of at most 1024 tokens."""
+    """One row for each piece of a document in a sequence of at most 1024 tokens. Each copy of a repeated document is packed on its own."""
     return _staged(spark, packing.packed, docs)
 
 

@@ -18,11 +18,13 @@ from tidelane.llm.common import deleted, saved, scratch, small_batches, table
 _left: dict[str, list[str]] = {}
 
 
-def _staged(spark: SparkSession, make: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
-    """A stage's result; the files that the stage before worked with are deleted first."""
+def _staged(spark: SparkSession, make: Callable[[DataFrame], DataFrame], docs: DataFrame, first: bool = False) -> DataFrame:
+    """A stage's result; the files that the stage before worked with are deleted first. The first stage leaves those of another run, whose result may not have
+    been read yet."""
     small_batches(spark)
     application = spark.sparkContext.applicationId
-    deleted(spark, _left.pop(application, []))
+    before = _left.pop(application, [])
+    deleted(spark, [] if first else before)
     with scratch() as paths:
         out = make(docs)
     _left[application] = paths
@@ -34,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a language are judged like others, though nothing is learned from them; empty texts go; repeated rows stay or go together.
     """
-    return _staged(spark, langid.accepted, docs)
+    return _staged(spark, langid.accepted, docs, first=True)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import filters
+from ..functions import dictionaries, filters
 from ..operators import classifiers, flows, l7, merge, reassembly, sinks
 from ..sources import build, captures, headers, layers, views
 from .analyze import flow_packets, flow_table
@@ -112,8 +112,7 @@ LINK_FILTERS = {
 
 
 def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.udf(captures.link_layer)
-    return _page(_raw_pages(spark, sf_dir, _link_frame)).groupBy("link_type").agg(F.count(F.lit(1)).alias("frames")).select(F.col("link_type").cast("bigint").alias("link_type"), named("link_type").alias("name"), "frames")
+    return _page(_raw_pages(spark, sf_dir, _link_frame)).groupBy("link_type").agg(F.count(F.lit(1)).alias("frames")).select(F.col("link_type").cast("bigint").alias("link_type"), dictionaries.named(F.col("link_type"), dictionaries.LINK_TYPES, F.lit("unknown")).alias("name"), "frames")
 
 
 LINK_NAMES = f"SELECT link_type, CASE link_type WHEN 0 THEN 'loopback' WHEN 1 THEN 'ethernet' WHEN 101 THEN 'raw_ip' WHEN 113 THEN 'linux_sll' WHEN 239 THEN 'nflog' ELSE 'unknown' END AS name, count(*) AS frames FROM (SELECT CAST({_case(10, '1', '113', '276', '101', '101', '0', '239', '1', '1', '1')} AS BIGINT) AS link_type FROM pages) GROUP BY link_type"

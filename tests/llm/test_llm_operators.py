@@ -733,6 +733,35 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, group, run):
+    """What ``run`` returns, and the jobs that it took: each costs the driver memory for a while, however small the table."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_take_few_jobs_and_join_hot_nodes(spark, monkeypatch):
+    from tidelane.llm import common
+
+    edges = [(k, k + 1) for k in range(1000, 1100)] + [(7, k) for k in range(2000, 2100)] + [(k, k) for k in range(5)]
+    want = {k: 1000 for k in range(1000, 1101)} | {k: 7 for k in (7, *range(2000, 2100))}
+    docs = saved(spark.createDataFrame(edges, "a long, b long"), "test-edges")
+    found, jobs = jobs_of(spark, "components", lambda: components.components(docs).collect())
+    assert {r.node: r.root for r in found} == want and len(found) == len(want)
+    monkeypatch.setattr(common, "HOT", 20)
+    assert {r.node: r.root for r in components.components(docs).collect()} == want
+    assert jobs <= 100, jobs
+
+
+def test_near_join_takes_few_jobs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, jobs = jobs_of(spark, "near", lambda: near_join.near_join(docs).collect())
+    assert len(rows) == docs.count() and jobs <= 48, jobs
+
+
 # ---- 9 and 1 ----
 
 

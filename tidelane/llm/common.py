@@ -105,10 +105,20 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
 HOT = 10_000
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """``rows`` joined with ``side``, which has one row for each key and, as ``count``, how many of the ``total`` rows have it. Rows of hot keys stay where
-    they are and get the side's at most ``HOT`` rows by broadcast; only those of all other keys are shuffled, so that no task gets a hot key."""
-    hot = F.col(count) * HOT >= max(total, HOT)
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key and, as ``count``, how many of the ``total`` rows have it (their sum, unless given). Rows
+    of hot keys stay where they are and get the side's at most ``HOT`` rows by broadcast; only those of all other keys are shuffled, so that no task gets a
+    hot key. Where ``side`` has at most ``HOT`` rows, or no key is hot, one join does. ``size``: the side's rows and its largest count, if they are known; a
+    side with more than ``HOT`` rows is read several times, so it should be one that ``saved`` returned, and ``total`` is then given."""
+    if size is None:
+        *size, summed = side.agg(F.count(F.lit(1)), F.max(count), F.sum(count)).first()
+        total = summed if total is None else total
+    if size[0] <= HOT:
+        return rows.join(F.broadcast(side), keys)
+    least = max(total, HOT)
+    if size[1] * HOT < least:
+        return rows.join(side, keys)
+    hot = F.col(count) * HOT >= least
     few = F.broadcast(side.filter(hot))
     return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(side.filter(~hot), keys))
 

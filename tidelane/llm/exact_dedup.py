@@ -107,7 +107,7 @@ class DigestIndex:
             rows = found.select("digest", F.lit(number).cast("bigint").alias("batch"), "keep_id", "copies", "stayed")
             rows.repartition(self.buckets, "digest").write.insertInto(self.name)
             touched(self.spark, f"{self.path}/_batches/{number}-{key}-whole")
-        out = spread_join(keyed, found.drop("stayed"), ["digest"], "copies", keyed.count())
+        out = spread_join(keyed, found.drop("stayed"), ["digest"], "copies")
         return out.select("row_id", "doc_id", "keep_id", "group_size", F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

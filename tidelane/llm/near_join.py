@@ -240,11 +240,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def units_of(comps: DataFrame, buckets: DataFrame) -> DataFrame:
     """Of each text in a component the units where it is compared: row_id, units (unit, band or -1 for a whole component, blocks of the unit)."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    sizes = saved(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
+    n, largest, texts = sizes.agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
+    if not n or largest <= BLOCK:
+        return comps.select("row_id", F.array(F.struct(F.col("comp").alias("unit"), F.lit(-1).alias("band"), F.lit(1).cast("bigint").alias("blocks"))).alias("units"))
     # Copies of texts that comparing by buckets would take.
     firsts = buckets.filter("row_id = least").select("row_id", "n").join(comps, "row_id").groupBy("comp").agg(F.sum(F.col("n") * blocks("n")).alias("by_bucket"))
-    plans = sizes.join(firsts, "comp").select("comp", "size", ((F.col("size") > BLOCK) & (F.col("by_bucket") < F.col("size") * blocks("size"))).alias("apart"))
-    planned = saved(spread_join(comps, plans, ["comp"], "size", comps.count()), "near-plans")
+    plans = saved(sizes.join(firsts, "comp").select("comp", "size", ((F.col("size") > BLOCK) & (F.col("by_bucket") < F.col("size") * blocks("size"))).alias("apart")), "near-sizes")
+    planned = saved(spread_join(comps, plans, ["comp"], "size", texts, (n, largest)), "near-plans")
     whole = planned.filter(~F.col("apart")).select("row_id", F.array(F.struct(F.col("comp").alias("unit"), F.lit(-1).alias("band"), blocks("size").alias("blocks"))).alias("units"))
     apart = buckets.join(planned.filter("apart").select("row_id"), "row_id", "left_semi").select("row_id", F.struct(F.col("key").alias("unit"), "band", blocks("n").alias("blocks")).alias("u"))
     return whole.unionByName(apart.groupBy("row_id").agg(F.collect_list("u").alias("units")))  # at most one for each band
@@ -266,10 +269,10 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     distinct = saved(sketch.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).select("w1", "w2", F.col("rep.row_id").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), "least_id", "copies"), "near-distinct")
 
     keys = saved(sketch.join(distinct.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", F.posexplode("bands").alias("band", "key")), "near-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least")).filter("n > 1")
+    shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("least")).filter("n > 1"), "near-shared")
     buckets = saved(spread_join(keys, shared, ["key"], "n", keys.count()), "near-buckets")
-    comps = saved(components(buckets.filter("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("row_id"), F.col("root").alias("comp")), "near-components")
-    removed(docs.sparkSession, keys)
+    removed(docs.sparkSession, keys, shared)
+    comps = components(buckets.filter("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("row_id"), F.col("root").alias("comp"))
     units = units_of(comps, buckets)
 
     members = units.join(distinct.select(F.col("rep").alias("row_id"), "copies"), "row_id")
@@ -284,7 +287,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     joined = distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("row_id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = joined.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep_doc", "rep")).alias("first"))
     known = saved(joined.join(classes, "root").select("w1", "w2", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.col("first.rep").alias("first")), "near-classes")
-    return spread_join(sketch.select("row_id", "doc_id", "w1", "w2"), known, ["w1", "w2"], "copies", sketch.count()).select("row_id", "doc_id", "class_id", "n_links", "n_linked_docs", F.col("copies").alias("n_copies"), (F.col("row_id") == F.col("first")).alias("kept"))
+    return spread_join(sketch.select("row_id", "doc_id", "w1", "w2"), known, ["w1", "w2"], "copies").select("row_id", "doc_id", "class_id", "n_links", "n_linked_docs", F.col("copies").alias("n_copies"), (F.col("row_id") == F.col("first")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -398,9 +398,9 @@ TLS_RECORD_STREAMS = f"SELECT page_id, {_HOST} AS sni, '22,20' AS record_types,
 
 def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows split into captures of their own, and those read back: packets, bytes and times by flow."""
-    packets = views.packets_from_events(views.table(spark, sf_dir, "events"))
+    packets = views.addressed(views.packets_from_events(views.table(spark, sf_dir, "events")))
     raw = build.frames_of(packets.withColumn("payload", F.repeat(F.lit("x"), F.col("app_len").cast("int")).cast("binary")), "t")
-    split = sinks.split_captures(raw, layers.packets(raw, []).drop("vlan_id"))
+    split = sinks.split_captures(raw, views.labelled(layers.packets(raw, []).drop("vlan_id")))
 
     def read(batches):
         for batch in batches:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 SERVER = "192.0.2.10"
+_SERVER_NUMBER = 192 << 24 | 2 << 8 | 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +43,28 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def addressed(packets: DataFrame) -> DataFrame:
+    """The events' packets with addresses that frames can hold: the third part of user n's address, n div 256, passes 255 from user 65,536 on, so that a
+    frame has 10.0.0.0 + n, which is the same below. Users whose number reaches the server's address (3,053,453,834) fail. ``labelled`` undoes it."""
+
+    def number(ip: str) -> Column:
+        parts = F.split(ip, r"\.")
+        n = F.lit(10 << 24).cast("bigint") + parts[2].cast("bigint") * 256 + parts[3].cast("bigint")
+        return F.when(F.col(ip) == SERVER, SERVER).when(n < _SERVER_NUMBER, text.ip_text(n)).when(n.isNotNull(), F.raise_error(F.concat(F.lit("no frame can hold the address "), F.col(ip))))
+
+    return packets.withColumns({c: number(c) for c in ("src_ip", "dst_ip")})
+
+
+def labelled(packets: DataFrame) -> DataFrame:
+    """Packets parsed from frames of ``addressed`` ones, with the addresses that the view has."""
+
+    def label(ip: str) -> Column:
+        n = text.ip_number(ip) - (10 << 24)
+        return F.when(F.col(ip) == SERVER, SERVER).otherwise(F.concat(F.lit("10.0."), F.floor(n / 256).cast("string"), F.lit("."), (n % 256).cast("string")))
+
+    return packets.withColumns({c: label(c) for c in ("src_ip", "dst_ip")})
+
+
 def packets_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """One order is one short flow: flow_no, idx, ts_us, true_dir, app_len, ip_len, wirelen, server_no."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")

@@ -29,3 +29,8 @@ def many_users(tmp_path_factory):
 
 def test_capture_round_trip_of_many_users(spark, many_users):
     same(spark, "capture_round_trip", many_users, "events")
+
+
+@pytest.mark.parametrize("name", ["frame_flows", "frame_layers", "frame_parse"])
+def test_frames_of_many_users(spark, many_users, name):
+    same(spark, name, many_users, "events")

@@ -16,8 +16,8 @@ from .flow_queries import FLOW_SQL
 
 
 def _parsed(spark: SparkSession, sf_dir: str, wanted: list[str] | None = None) -> DataFrame:
-    packets = views.packets_from_events(views.table(spark, sf_dir, "events"))
-    return layers.packets(build.frames_of(packets.withColumn("payload", F.repeat(F.lit("x"), F.col("app_len").cast("int")).cast("binary"))), wanted or [])
+    packets = views.addressed(views.packets_from_events(views.table(spark, sf_dir, "events")))
+    return views.labelled(layers.packets(build.frames_of(packets.withColumn("payload", F.repeat(F.lit("x"), F.col("app_len").cast("int")).cast("binary"))), wanted or []))
 
 
 def frame_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered folds over the packets of each flow, for state machines that built-in functions can't express.
 
 Packets are dealt out by flow and sorted within partitions, then streamed through Python once: a worker holds one flow's state at a time, never its
-packets, so the length of a flow doesn't matter.
+packets, so the length of a flow doesn't matter. Packets come and results go in pieces, so neither does the length of a batch.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from ..functions.batches import joined, pieces
+
 
 def folded(packets: DataFrame, make: Callable[[], object], fields: list[tuple[str, pa.DataType]], columns: list[str]) -> DataFrame:
     """One row for each flow whose fold has a result.
@@ -22,23 +24,19 @@ def folded(packets: DataFrame, make: Callable[[], object], fields: list[tuple[st
     to_arrow_schema(packets.select("flow").schema)  # fails early where there is no flow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, rows = None, None, []
-
-        def close() -> None:
+        def results() -> Iterator[dict]:
+            now, state = None, None
+            for rows in pieces(batches):
+                for row in rows:
+                    if state is None or row["flow"] != now:
+                        if state is not None and (found := state.result()) is not None:
+                            yield {"flow": now} | found
+                        now, state = row["flow"], make()
+                    state.feed(row)
             if state is not None and (found := state.result()) is not None:
-                rows.append({"flow": now} | found)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if state is None or row["flow"] != now:
-                    close()
-                    now, state = row["flow"], make()
-                state.feed(row)
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        close()
-        yield pa.RecordBatch.from_pylist(rows, schema)
+                yield {"flow": now} | found
+
+        yield from joined(results(), schema)
 
     used = ["flow", "pkt_no", *[c for c in columns if c not in ("flow", "pkt_no")]]
     return packets.select(*used).repartition("flow").sortWithinPartitions("flow", "pkt_no").mapInArrow(run, from_arrow_schema(schema))

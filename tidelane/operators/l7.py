@@ -644,16 +644,8 @@ def metadata(packets: DataFrame, kind: str, filter_port: int = 0) -> DataFrame:
     near = F.col("src_port").isin(*fold.ports) | F.col("dst_port").isin(*fold.ports)
     signed = F.lit(False)
     if fold.signature is not None:
-        pattern = fold.signature.pattern
-
-        def matches(batch):
-            return batch.map(lambda b: bool(b) and re.match(pattern, b, re.S) is not None)
-
-        import pandas as pd
-        from pyspark.sql.types import BooleanType
-
-        matches.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-        signed = F.pandas_udf(matches, BooleanType())(F.col("payload"))
+        begin = F.decode(F.substring("payload", 1, 64), "ISO-8859-1")  # bytes as characters of the same numbers; no signature is longer
+        signed = begin.rlike(rf"(?s)\A(?:{fold.signature.pattern.decode()})")
     keyed = packets if "flow" in packets.columns else canonical(packets)
     # A flow takes part as a whole if any of its packets is admitted by port; others by their own signature.
     admitted = keyed.filter(F.col("protocol").isin(*_TRANSPORT.get(kind, (6, 17))) & (F.length("payload") > 0)).filter(near | signed)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import BinaryType
 
 from ..functions import text
+from ..functions.batches import joined, pieces
 from ..operators import classifiers, flows, l7
 from ..sources import build, layers, views
 from .flow_queries import FLOW_SQL
@@ -17,7 +19,9 @@ from .flow_queries import FLOW_SQL
 
 def _parsed(spark: SparkSession, sf_dir: str, wanted: list[str] | None = None) -> DataFrame:
     packets = views.addressed(views.packets_from_events(views.table(spark, sf_dir, "events")))
-    return views.labelled(layers.packets(build.frames_of(packets.withColumn("payload", F.repeat(F.lit("x"), F.col("app_len").cast("int")).cast("binary"))), wanted or []))
+    frame, (parse, schema) = build.framing(), layers.parsing(wanted or [])
+    rows = build.packet_rows(packets.withColumn("payload", F.repeat(F.lit("x"), F.col("app_len").cast("int")).cast("binary")))
+    return views.labelled(rows.mapInArrow(lambda batches: parse(frame(batches)), from_arrow_schema(schema)))  # one worker does both
 
 
 def frame_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,23 +53,28 @@ FRAME_FLOWS = FLOW_SQL + "SELECT flow, count(*) AS packets, count(*) FILTER (dir
 # ---- pages as conversations: page n talks from 10.1.x.y to a server ----
 
 
+_ROW = pa.schema([(c, pa.string() if c in ("src_ip", "dst_ip") else pa.binary() if c == "payload" else pa.int64()) for c in build.COLUMNS])
+
+
 def _page_packets(spark: SparkSession, sf_dir: str, port: int, protocol: int, payload: Callable[[int, str], list[tuple[bool, bytes]]]) -> DataFrame:
     """Parsed packets that ``payload(page_id, url)`` says, as (from the client?, bytes) in order."""
     host_ip = F.concat_ws(".", F.lit("10"), (F.col("page_id") / 65536).cast("int").cast("string"), (F.floor(F.col("page_id") / 256) % 256).cast("string"), (F.col("page_id") % 256).cast("string"))
     pages = views.table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), host_ip.alias("client"))
 
-    def expand(batches):
-        for batch in batches:
-            out = [(p, k, up, data, c) for p, u, c in zip(batch["page_id"], batch["url"], batch["client"], strict=True) for k, (up, data) in enumerate(payload(int(p), u))]
-            yield pd.DataFrame(out, columns=["page_id", "k", "up", "payload", "client"])
-
-    rows = pages.mapInPandas(expand, "page_id bigint, k bigint, up boolean, payload binary, client string")
-    server, up = F.lit("192.0.2.10"), F.col("up")
-    packets = rows.select(
-        (F.col("page_id") * 16 + F.col("k")).alias("pkt_no"), (F.col("page_id") * 1_000_000 + F.col("k") * 2000).alias("ts_us"), F.when(up, F.col("client")).otherwise(server).alias("src_ip"), F.when(up, server).otherwise(F.col("client")).alias("dst_ip"),
-        F.when(up, 40000).otherwise(port).cast("bigint").alias("src_port"), F.when(up, port).otherwise(40000).cast("bigint").alias("dst_port"), F.lit(protocol).alias("protocol"), "payload",
-    )
-    return layers.packets(build.frames_of(packets), [], "none").drop("file", "vlan_id")
+    def talk(rows: list[dict]) -> Iterator[dict]:
+        for r in rows:
+            page, ends = r["page_id"], ((r["client"], 40000), (views.SERVER, port))
+            for k, (up, data) in enumerate(payload(page, r["url"])):
+                (src, sport), (dst, dport) = ends if up else ends[::-1]
+                yield {"pkt_no": page * 16 + k, "ts_us": page * 1_000_000 + k * 2000, "src_ip": src, "src_port": sport, "dst_ip": dst, "dst_port": dport, "protocol": protocol, "payload": data, "tcp_flags": 24, "tcp_seq": 1, "tcp_win": 8192}
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            yield from joined(talk(rows), _ROW)
+
+    frame, (parse, schema) = build.framing(), layers.parsing([], "none")
+    # One worker makes the packets, frames them and parses them, so that a task has one Python process and not three.
+    return pages.mapInArrow(lambda batches: parse(frame(expand(batches))), from_arrow_schema(schema)).drop("file", "vlan_id")
 
 
 def _host(url: str) -> str:

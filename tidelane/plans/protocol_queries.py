@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dictionaries, filters
+from ..functions.batches import joined, pieces
 from ..operators import classifiers, flows, l7, merge, reassembly, sinks
 from ..sources import build, captures, headers, layers, views
 from .analyze import flow_packets, flow_table
@@ -46,11 +47,15 @@ def _raw_pages(spark: SparkSession, sf_dir: str, make: Callable[[int, str], list
     pages = views.table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
 
     def expand(batches):
-        for batch in batches:
-            rows = [("pages", int(p) * 16 + k, int(p) * 1_000_000 + k * 2000, link, len(b), len(b), b) for p, u in zip(batch["page_id"], batch["url"], strict=True) for k, (link, b) in enumerate(make(int(p), u))]
-            yield pd.DataFrame(rows, columns=["file", "pkt_no", "ts_us", "link_type", "caplen", "wirelen", "data"])
+        def made(rows):
+            for r in rows:
+                for k, (link, b) in enumerate(make(r["page_id"], r["url"])):
+                    yield {"file": "pages", "pkt_no": r["page_id"] * 16 + k, "ts_us": r["page_id"] * 1_000_000 + k * 2000, "link_type": link, "caplen": len(b), "wirelen": len(b), "data": b}
+
+        for rows in pieces(batches):
+            yield from joined(made(rows), captures.RAW_ARROW)
 
-    return pages.mapInPandas(expand, captures.RAW_SCHEMA)
+    return pages.mapInArrow(expand, captures.RAW_SCHEMA)
 
 
 def _page(df: DataFrame) -> DataFrame:

@@ -34,3 +34,12 @@ def test_capture_round_trip_of_many_users(spark, many_users):
 @pytest.mark.parametrize("name", ["frame_flows", "frame_layers", "frame_parse"])
 def test_frames_of_many_users(spark, many_users, name):
     same(spark, name, many_users, "events")
+
+
+@pytest.mark.parametrize("name", ["lineitem_bursts", "lineitem_flows"])
+def test_tasks_grow_with_lineitem(spark, monkeypatch, name):
+    """Spark would merge the shuffle's partitions into one."""
+    monkeypatch.setattr("tidelane.sources.views.TASK_ROWS", 700)
+    df = catalogue.QUERIES[name](spark, DATA)
+    assert df.rdd.getNumPartitions() == 9 and df.rdd.glom().map(len).filter(bool).count() == 9
+    same(spark, name, DATA, "lineitem")

@@ -65,11 +65,22 @@ def labelled(packets: DataFrame) -> DataFrame:
     return packets.withColumns({c: label(c) for c in ("src_ip", "dst_ip")})
 
 
+#: Rows of a table that a task of ``dealt`` gets, about.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` to as many tasks as the table's rows ask for, which Spark doesn't merge again: it would by their compressed size in the
+    shuffle, and what sorts and aggregates hold of them is many times that. So a task's memory doesn't grow with the table."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(-(-rows // TASK_ROWS), min(cores, -(-rows // 10_000)), 1), *keys)
+
+
 def packets_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """One order is one short flow: flow_no, idx, ts_us, true_dir, app_len, ip_len, wirelen, server_no."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     n = F.col("l_quantity").cast("bigint")
-    return lineitem.select(
+    return dealt(lineitem, "l_orderkey").select(
         F.col("l_orderkey").alias("flow_no"), F.row_number().over(order).cast("bigint").alias("idx"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ts_us"),
         F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("true_dir"), n.alias("app_len"), (n + 40).alias("ip_len"), (n + 54).alias("wirelen"), F.col("l_suppkey").alias("server_no"),
     )

@@ -18,7 +18,7 @@ def python_steps(df):
     return len(re.findall(r"MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython", plan))
 
 
-@pytest.mark.parametrize("name", ["quic_frames", "ssh_frames", "vnc_frames"])
+@pytest.mark.parametrize("name", ["quic_frames", "ssh_frames", "vnc_frames", "vpn_frames"])
 def test_one_worker_makes_frames_and_another_folds(spark, name):
     assert python_steps(catalogue.QUERIES[name](spark, DATA)) == 2
 
